@@ -43,8 +43,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, text) with null text as empty; other columns go."""
-    return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """(doc_id, text) with null text as empty. Rows without a doc_id take no part; other columns go."""
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanwork.llm import license_scan, topk_search
+from gleanwork.llm.jaccard_join import op4_jaccard_join
+from gleanwork.llm.license_scan import op5_license_scan
+from gleanwork.llm.media_copies import op7_media_copies
+from gleanwork.llm.mixing import op10_mix_min_cost_flow
 from gleanwork.llm.packing import op1_pack_best_fit
+from gleanwork.llm.secret_scan import op8_secret_scan
 from gleanwork.llm.substring_dedup import op2_substring_dedup
 from gleanwork.llm.token_counts import op3_token_counts
+from gleanwork.llm.topk_search import op6_exact_topk
+from gleanwork.llm.toxicity import op9_toxicity
 
-_ALL = [op1_pack_best_fit, op2_substring_dedup, op3_token_counts]
+_ALL = [op1_pack_best_fit, op2_substring_dedup, op3_token_counts, op4_jaccard_join, op5_license_scan, op6_exact_topk, op7_media_copies, op8_secret_scan, op9_toxicity, op10_mix_min_cost_flow]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_license_scan": license_scan.ORACLE, "op6_exact_topk": topk_search.ORACLE}
