@@ -1,15 +1,16 @@
-"""Binds the library's jobs to the driver tables."""
+"""All queries of the library over the driver tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from gleanwork.plans import corpus, retrieval, texts  # noqa: F401  they register their queries
+from gleanwork.plans.registry import QUERIES, SQL
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Callable]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
