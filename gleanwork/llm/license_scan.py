@@ -84,7 +84,7 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = forms.select("doc_id", F.sha2(whole(F.col("form")), 256).alias("digest"), F.explode_outer(F.array_distinct(F.transform(lines, lambda x: F.sha2(x, 256)))).alias("line"))
     hits = rows.join(known.select(F.col("digest").alias("line"), F.col("license").alias("of_line")), "line", "left")
-    per = hits.groupBy("doc_id", "digest").agg(F.count("of_line").alias("n_license_lines"), F.array_join(F.sort_array(F.collect_set("of_line")), ",").alias("line_licenses"))
+    per = hits.groupBy("doc_id", "digest").agg(F.size(F.collect_set(F.when(F.col("of_line").isNotNull(), F.col("line")))).cast("long").alias("n_license_lines"), F.array_join(F.sort_array(F.collect_set("of_line")), ",").alias("line_licenses"))
     return per.join(known, "digest", "left").select("doc_id", "digest", "license", "n_license_lines", "line_licenses")
 
 
