@@ -3,8 +3,7 @@
 1. Counting. Documents are read once, in blocks. A block deals its shingle hashes to
    buckets of the hash, each bucket counts in how many distinct sets of a block every
    shingle occurs, and sends back only those that occur twice or more in the corpus. Four
-   fifths of all shingles end there. A shingle moves as 8 bytes, once a block
-   however often it occurs there.
+   fifths of all shingles end there. A shingle of a block's set moves as 10 bytes.
 2. Classes. Documents with equal sets are one class. With shingles ordered from rare to
    common, two linked sets share one within their prefixes, the first
    n - ceil(0.75 n) + 1. Shingles of one document alone come first and match nothing,
@@ -75,7 +74,7 @@ def _deal(batches: Iterator[pd.DataFrame], shingle: int, buckets: int) -> Iterat
             block = xxhash.xxh3_64_intdigest(ids.tobytes() + digests.tobytes()) >> 1
             sizes = np.array([len(sets[k]) for k in first], dtype=np.int64)
             h = np.concatenate([sets[k] for k in first]) if len(first) else np.zeros(0, U64)
-            owner = np.repeat(np.arange(len(first), dtype=np.uint32), sizes)
+            owner = np.repeat(np.arange(len(first), dtype=np.uint16 if len(first) <= 1 << 16 else np.uint32), sizes)
             to = (h % U64(buckets)).astype(np.int64)
             order = np.lexsort((h, to))
             h, owner, to = h[order], owner[order], to[order]
@@ -89,6 +88,11 @@ def _deal(batches: Iterator[pd.DataFrame], shingle: int, buckets: int) -> Iterat
             yield pd.DataFrame(rows, columns=["bucket", "block", "payload", "owners"])
 
 
+def _owners(owners: bytes, payload: bytes) -> np.ndarray:
+    """Two bytes each, or four in a block of very many sets; the hashes beside them have eight."""
+    return np.frombuffer(owners, dtype=np.uint16 if 4 * len(owners) == len(payload) else np.uint32)
+
+
 def _count(dealt: pd.DataFrame) -> pd.DataFrame:
     """For each block what of its shingles occurs in two sets or more, with a byte that grows with the count."""
     if dealt["bucket"].iloc[0] < 0:
@@ -101,20 +105,22 @@ def _count(dealt: pd.DataFrame) -> pd.DataFrame:
     counts = np.empty(len(flat), dtype=np.int64)
     counts[order] = np.repeat(np.diff(np.append(begin, len(s))), np.diff(np.append(begin, len(s))))
     rows, at = [], 0
-    for block, h, owners in zip(dealt["block"], hashes, dealt["owners"], strict=True):
+    for block, h, payload, owners in zip(dealt["block"], hashes, dealt["payload"], dealt["owners"], strict=True):
         own = counts[at : at + len(h)]
         at += len(h)
         keep = own > 1
         if keep.any():
             grade = np.minimum(255, np.round(16 * np.log2(own[keep]))).astype(np.uint8)
-            rows.append((block, h[keep].tobytes(), np.frombuffer(owners, dtype=np.uint32)[keep].tobytes(), grade.tobytes()))
+            rows.append((block, h[keep].tobytes(), _owners(owners, payload)[keep].tobytes(), grade.tobytes()))
     return pd.DataFrame(rows, columns=["block", "payload", "owners", "grades"])
 
 
 def _rare_first(block: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Per document its set's size and digest; where the prefix has a shared shingle also the shared ones, rare to common."""
     plain = block["grades"].isna()
-    h, owner, grade = (np.concatenate([np.frombuffer(x, dtype=kind) for x in block.loc[~plain, c]] or [np.zeros(0, kind)]) for c, kind in (("payload", U64), ("owners", np.uint32), ("grades", np.uint8)))
+    shared = block[~plain]
+    h, grade = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, dtype=kind) for x in shared[c])]) for c, kind in (("payload", U64), ("grades", np.uint8)))
+    owner = np.concatenate([np.zeros(0, np.uint16), *(_owners(x, y) for x, y in zip(shared["owners"], shared["payload"], strict=True))])
     order = np.lexsort((h, grade, owner))
     h, owner = h[order], owner[order]
     once = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.zeros(0, bool)  # equal blocks of repeated rows
