@@ -29,7 +29,7 @@ END_ID = 1
 #: Documents a shard, on average.
 SHARD_DOCS = 2000
 #: Entries of a worker's memo of encoded words; beyond it the memo starts again.
-MEMO = 400_000
+MEMO = 1_200_000
 
 _memos: dict = {}
 
