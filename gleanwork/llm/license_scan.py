@@ -17,6 +17,8 @@ empty table gives no rows; other columns are ignored; very long texts are read w
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +59,8 @@ def canonical_lines(text: Column) -> Column:
     """The canonical text with its line breaks."""
     out = F.lower(text)
     for pattern, by in RULES:
-        out = F.regexp_replace(out, pattern, by.replace(r"\1", "$1"))
+        plain = re.fullmatch("[a-z-]+", pattern)
+        out = F.replace(out, F.lit(pattern), F.lit(by)) if plain else F.regexp_replace(out, pattern, by.replace(r"\1", "$1"))
     return out
 
 
@@ -82,7 +85,9 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
         known = F.broadcast(known)
     forms = documents(docs).select("doc_id", canonical_lines(F.col("text")).alias("form"))
     lines = F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = forms.select("doc_id", F.sha2(whole(F.col("form")), 256).alias("digest"), F.explode_outer(F.array_distinct(F.transform(lines, lambda x: F.sha2(x, 256)))).alias("line"))
+    # The whole text's digest is made before its lines are rows, so once a document.
+    digests = forms.select("doc_id", F.sha2(whole(F.col("form")), 256).alias("digest"), F.array_distinct(F.transform(lines, lambda x: F.sha2(x, 256))).alias("lines"))
+    rows = digests.select("doc_id", "digest", F.explode_outer("lines").alias("line"))
     hits = rows.join(known.select(F.col("digest").alias("line"), F.col("license").alias("of_line")), "line", "left")
     per = hits.groupBy("doc_id", "digest").agg(F.size(F.collect_set(F.when(F.col("of_line").isNotNull(), F.col("line")))).cast("long").alias("n_license_lines"), F.array_join(F.sort_array(F.collect_set("of_line")), ",").alias("line_licenses"))
     return per.join(known, "digest", "left").select("doc_id", "digest", "license", "n_license_lines", "line_licenses")
