@@ -15,6 +15,9 @@ from gleanwork.llm.packing import byte_bpe, pack
 from gleanwork.llm.secret_scan import redact
 from gleanwork.llm.toxicity import reject
 
+#: Up to so many ids (8 bytes each) are broadcast.
+BROADCAST_IDS = 500_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold."""
@@ -22,9 +25,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id; one row for each doc_id."""
-    stay = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each component of near copies the document with the smallest doc_id; one row for each doc_id.
+
+    The ids that go are broadcast if they are few, which is checked; texts are then not shuffled.
+    Rows without a doc_id stay.
+    """
+    found = staged(near_duplicates(docs), "near-copies")
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
