@@ -32,19 +32,32 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _open(lists: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """(key, node, root) of the lists whose nodes the links leave in several components."""
+    named = lists.select("key", "node").join(components(links).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    keys = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    return staged(named.join(keys, "key"), name)
+
+
 def links_of_lists(lists: DataFrame, verified, name: str) -> DataFrame:
     """Links (a, b) that connect what all linked pairs of any list would connect.
 
-    lists has (key, node); verified(pairs) keeps the linked ones of pairs (a, b). First
-    every list is tested against its smallest node, then what is still in different
-    components is tested pair by pair, so no list is cut and a list of copies costs as
-    many pairs as it has nodes.
+    lists has (key, node), each row once; verified(pairs) keeps the linked ones of pairs (a, b).
+    First every node is tested against one other only, the smallest that heads a list of
+    its own; then, in lists still of several components, every node against its list's
+    head; what is then in different components is tested pair by pair. So no list is cut,
+    and a group of copies costs about a pair for each of its nodes, however many lists they share.
     """
-    pivots = lists.groupBy("key").agg(F.min("node").alias("a"))
-    star = lists.join(pivots, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
-    first = staged(verified(star), name)
-    named = lists.join(components(first).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    rest = staged(named.join(open_keys, "key"), name)
+    heads = lists.groupBy("key").agg(F.min("node").alias("a"))
+    one = lists.join(heads, "key").where("node != a").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    links = staged(verified(one), name)
+
+    rest = _open(lists, links, name)
+    heads = rest.groupBy("key").agg(F.min(F.struct("root", "node")).alias("head"))
+    star = rest.join(heads, "key").where("root != head.root").select(F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b")).distinct()
+    star = staged(star, name)
+    links = links.unionByName(staged(verified(star), name))
+
+    rest = _open(rest, links, name)
     pairs = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.root != y.root")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return first.unionByName(verified(pairs.join(star, ["a", "b"], "left_anti")))
+    return links.unionByName(verified(pairs.join(star, ["a", "b"], "left_anti")))
