@@ -17,7 +17,9 @@ empty table gives no rows; other columns are ignored; very long texts are read w
 
 from __future__ import annotations
 
+import json
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,56 @@ from gleanwork.llm.common import documents, table
 #: Up to so many known digests (about 100 bytes each) are broadcast.
 BROADCAST_ROWS = 20_000
 
+#: Names that notices use for a licence.
+NAMES = {
+    "MIT": ["MIT License", "MIT"],
+    "MIT-0": ["MIT No Attribution License", "MIT-0"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0", "Apache-2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "BSD-3-Clause"],
+    "ISC": ["ISC License", "ISC"],
+    "Zlib": ["zlib License", "zlib"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0"],
+    "Unlicense": ["Unlicense"],
+    "WTFPL": ["WTFPL"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0"],
+    "EPL-2.0": ["Eclipse Public License, Version 2.0", "Eclipse Public License 2.0", "EPL 2.0", "EPL-2.0"],
+    **{f"{short}-{n}.0": [f"GNU {long} General Public License, Version {n}".replace("  ", " "), f"GNU {long} General Public License, Version {n}.0".replace("  ", " "), f"GNU {long} General Public License v{n}.0".replace("  ", " "), f"GNU {short} v{n}", f"GNU {short} {n}.0", f"{short} v{n}", f"{short}v{n}", f"{short} {n}.0", f"{short}-{n}.0"] for short, long, n in (("GPL", "", 2), ("GPL", "", 3), ("LGPL", "Lesser", 3), ("AGPL", "Affero", 3))},
+    "LGPL-2.1": ["GNU Lesser General Public License, Version 2.1", "GNU Lesser General Public License v2.1", "GNU LGPL v2.1", "LGPL v2.1", "LGPLv2.1", "LGPL 2.1", "LGPL-2.1"],
+    "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0", "CC0", "CC0-1.0"],
+    **{f"CC-{part}-{v}": [f"Creative Commons {name} {v} International License", f"Creative Commons {name} {v}", f"CC {part} {v}", f"CC-{part}-{v}"] for v in ("3.0", "4.0") for part, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))},
+}
+#: Wordings of one-line notices around a name.
+NOTICES = [f"{verb} under {the}{{}}." for verb in ("Licensed", "Released", "Distributed", "Available", *(f"This {what} is {how}" for what in ("work", "project", "software") for how in ("licensed", "released"))) for the in ("", "the ")] + ["License: {}", "SPDX-License-Identifier: {}"]
+#: Titles that stand above, or are left out of, the whole text of a short licence.
+TITLES = {
+    "MIT": ["The MIT License", "The MIT License (MIT)", "MIT License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"],
+    "ISC": ["ISC License (ISC)", "ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"],
+    "Zlib": ["zlib License", "The zlib/libpng License", "zlib License (Zlib)"],
+    "MIT-0": ["MIT No Attribution"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "Unlicense": ["The Unlicense"],
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(name, text) of the files in licenses/, each named as its licence: with each of its titles and without, with and without the appendix."""
+    out = []
+    for file in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        name, text = file.stem, file.read_text(encoding="utf-8")
+        titles = TITLES.get(name, [])
+        first, _, rest = text.lstrip().partition("\n")
+        body = rest if first.strip() in titles else text
+        out += [(name, text), (name, body)] + [(name, f"{title}\n{body}") for title in titles]
+        if _END in text:
+            out += [(name, text.partition(_END)[0] + _END), (name, text.partition(_END)[0])]
+    return out
+
+
 #: Known notices and whole texts: (name, text).
 LICENSES = [
     ("MIT", "Released under the MIT License."),
@@ -37,6 +89,8 @@ LICENSES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    *((name, wording.format(called)) for name, names in NAMES.items() for called in names for wording in NOTICES),
+    *whole_texts(),
     (
         "MIT",
         "MIT License\nCopyright (c) 2020 A. Holder\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
@@ -94,7 +148,7 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in LICENSES))))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"license": n, "text": t} for n, t in LICENSES])), "array<struct<license: string, text: string>>")))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

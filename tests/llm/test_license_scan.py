@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from gleanwork.llm import license_scan as L
 
 
@@ -33,3 +35,23 @@ def test_empty_table_and_cases(spark, docs, no_docs):
     assert L.scan(docs, known).where("license is not null or n_license_lines > 0").count() == 0
     plan = L.scan(docs, known)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_every_licence_line_of_the_tables(spark):
+    """By a plain search for words, from no list of the operator."""
+    names = {"GNU General Public License, version 3": "GPL-3.0", "MIT License": "MIT", "Apache License, Version 2.0": "Apache-2.0", "CC BY-NC 4.0": "CC-BY-NC-4.0"}
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text rlike '(?i)licen[sc]ed? under|released under|general public'")
+    lines = {r.doc_id: [x for x in r.text.split("\n") if "icense" in x] for r in docs.collect()}
+    assert len(lines) == 262
+    want = {i: ",".join(sorted({next(v for k, v in names.items() if k in x) for x in found})) for i, found in lines.items()}
+    assert "GPL-3.0" in want.values()
+    assert {r.doc_id: r.line_licenses for r in L.scan(docs, L.known_licenses(spark)).collect()} == want
+
+
+def test_whole_texts_of_the_usual_licences(spark):
+    long = ["GPL-3.0", "GPL-2.0", "LGPL-3.0", "Apache-2.0", "MPL-2.0", "CC0-1.0"]
+    texts = [(name, (Path(L.__file__).parent / "licenses" / f"{name}.txt").read_text(encoding="utf-8")) for name in [*long, "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "MIT-0", "Zlib", "Unlicense", "BSL-1.0"]]
+    isc = "Copyright (c) 1999, Nobody\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    texts += [("ISC", isc), ("ISC", "The ISC License\n" + isc), ("MIT", "The MIT License (MIT)\n" + L.LICENSES[-1][1].partition("\n")[2])]
+    got = {r.doc_id: r.license for r in L.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string"), L.known_licenses(spark)).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(texts)}
