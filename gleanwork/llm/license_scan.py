@@ -100,7 +100,9 @@ LICENSES = [
 #: Rules of the canonical form, in order: (pattern, replacement). The text is lower case; lines end at \n.
 RULES = [
     (r"[\r\t\x0B\f]", " "),
-    (r"(^|\n) *(copyright|\(c\)|all rights reserved)[^\n]*", r"\1"),
+    # "Copyright notice" and the like are words of a licence, also where a line is broken before them.
+    (r"copyright([^\p{L}\p{N}]+(?:notice|holder|owner|law|licen[cs]e|interest|statement|and|or)s?([^\p{L}\p{N}]|$))", r"copy right\1"),
+    (r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*", r"\1"),
     (r"licence", "license"),
     (r"sub-license", "sublicense"),
     (r"non-infringement", "noninfringement"),

@@ -55,3 +55,22 @@ def test_whole_texts_of_the_usual_licences(spark):
     texts += [("ISC", isc), ("ISC", "The ISC License\n" + isc), ("MIT", "The MIT License (MIT)\n" + L.LICENSES[-1][1].partition("\n")[2])]
     got = {r.doc_id: r.license for r in L.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string"), L.known_licenses(spark)).collect()}
     assert got == {i: name for i, (name, _) in enumerate(texts)}
+
+
+def test_copyright_lines_behind_marks(spark):
+    import duckdb
+
+    full = L.LICENSES[-1][1]
+    own = "Copyright (c) 2020 A. Holder"
+    holders = ["© 2020 Holder", "# Copyright 2020 Holder", "// Copyright (c) 2020 Holder", " * Copyright © 2020 Holder", "\t-- © Holder", "* (C) 2020 Holder\n * All rights reserved.", "<!-- Copyright 2020 Holder -->"]
+    rows = [full.replace(own, h) for h in holders]
+    rows += ["\n".join(f"# {line}" for line in full.split("\n")), full.replace(" COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS").replace(" copyright notice", "\n * copyright notice")]
+    got = {r.doc_id: r.license for r in L.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), L.known_licenses(spark)).collect()}
+    assert got == dict.fromkeys(range(len(rows)), "MIT")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(rows)))
+    assert {r[0]: r[2] for r in con.execute(L.ORACLE).fetchall()} == got
+    # A line of words before the sign is no copyright line.
+    left = [r.x for r in spark.createDataFrame([("see © 2020\n© y",), ("été © x",)], "t string").select(L.canonical_lines(L.F.col("t")).alias("x")).collect()]
+    assert [x.split() for x in left] == [["see", "2020"], ["t", "x"]]
