@@ -82,6 +82,14 @@ def mixed_index(spark, sf):
     return X.kept(spark, sf).select("id", "content", "payload").unionByName(chunks, allowMissingColumns=True)
 
 
+@query(f"with {QA}, st as (select doc_id, text, unnest(range(0, greatest(length(text) - 50, 1), 350)) as st from documents where length(text) > 0), i as (select id, content, payload, null::int as chunk_index from kept union all by name select 'c' || doc_id || '-' || (st // 350) as id, substr(text, st + 1, 400) as content, substr(text, st + 1, 400) as payload, (st // 350)::int as chunk_index from st) select id, content, payload, chunk_index from i")
+def mixed_index_whole(spark, sf):
+    """Q&A rows and all chunks of each document in one index."""
+    chunk_id = F.concat(F.lit("c"), F.col("doc_id").cast("string"), F.lit("-"), F.col("chunk_index").cast("string"))
+    chunks = C.fixed(_documents(spark, sf), 400, 50).select(chunk_id.alias("id"), "content", F.col("content").alias("payload"), "chunk_index")
+    return X.kept(spark, sf).select("id", "content", "payload").unionByName(chunks, allowMissingColumns=True)
+
+
 _TOK = r"list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')"
 
 

@@ -163,3 +163,17 @@ def test_rates_and_audit(spark):
     evalset = frame(spark, [("q", "1"), ("q", "2"), ("r", "1"), ("s", "9")], "query string, answer_id string")
     index = frame(spark, [("1", "c", "Validation"), ("2", "c", "Training")], "id string, content string, split string")
     assert {r.check: r.n for r in E.audit(evalset, index).collect()} == {"duplicate_answer_id": 1, "gold_missing": 1, "gold_not_validation": 1, "duplicate_content": 2, "duplicate_query": 1}
+
+
+def test_mixed_index_has_every_character(spark):
+    from gleanwork.plans import texts
+
+    sf = "/root/testdata/sf0.001"
+    rows = texts.mixed_index_whole(spark, sf).where("chunk_index is not null").collect()
+    assert len({r.id for r in rows}) == len(rows)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.id.split("-")[0], r.chunk_index)):
+        key = int(r.id.split("-")[0][1:])
+        got[key] = got.get(key, "") + (r.content if r.chunk_index == 0 else r.content[50:])
+    assert got == {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text}
+    assert max(map(len, got.values())) > 400
