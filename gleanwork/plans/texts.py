@@ -123,6 +123,13 @@ def bm25_topk(spark, sf):
     return K.bm25(asked, _bare(spark, sf), F.slice(token_list(F.col("asked")), 1, 5), token_list(F.col("text")))
 
 
+@query(_BM25.replace("[1:5]", ""))
+def bm25_topk_whole(spark, sf):
+    """Searches with all words of an item."""
+    asked = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("asked"))
+    return K.bm25(asked, _bare(spark, sf), token_list(F.col("asked")), token_list(F.col("text")))
+
+
 @query()
 def embed_job(spark, sf):
     """Hashed words stand in for the model."""

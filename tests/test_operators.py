@@ -177,3 +177,24 @@ def test_mixed_index_has_every_character(spark):
         got[key] = got.get(key, "") + (r.content if r.chunk_index == 0 else r.content[50:])
     assert got == {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text}
     assert max(map(len, got.values())) > 400
+
+
+def test_bm25_searches_with_all_words(spark, tmp_path):
+    """Against brute force; a document that has only words after an item's fifth is found."""
+    import math
+
+    from gleanwork.plans import texts
+
+    docs = {1: "alpha beta gamma", 2: "omega omega psi x y z", 3: "none of these", 4: "psi beta chi chi chi", 5: ""}
+    items = {7: "Alpha beta gamma delta eps zeta omega psi omega", 8: "a b c d e chi"}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = {i: t.split() for i, t in docs.items()}
+    mean, want = sum(map(len, words.values())) / len(words), {}
+    for q, text in items.items():
+        for i, own in words.items():
+            for term in set(text.lower().split()) & set(own):
+                df, tf = sum(term in w for w in words.values()), own.count(term)
+                want[q, i] = want.get((q, i), 0) + math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(own) / mean))
+    got = {(r.qid, r.id): r.score for r in texts.bm25_topk_whole(spark, str(tmp_path)).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-8) for k, v in want.items()} and (7, 2) in got and (8, 4) in got
