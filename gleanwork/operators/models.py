@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanwork.functions.batches import with_made
+
 #: A batch's rows, and its rows times the length of its longest text.
 MAX_ROWS, MAX_CHARS = 32, 8000
 
@@ -63,13 +65,11 @@ def embed(items: DataFrame, encoder: Encoder, model: str, dim: int, query_prefix
 def score_pairs(pairs: DataFrame, scorer: Callable[[Sequence[str], Sequence[str]], Sequence[float]]) -> DataFrame:
     """pairs (query_text, text, ...) with a score, 16 queries' worth of rows at a time."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for i in range(0, len(part), 16 * 20):
-                rows = part.iloc[i : i + 320]
-                yield rows.assign(score=np.asarray(scorer(rows["query_text"].tolist(), rows["text"].tolist()), dtype=np.float64))
+    def score(queries: list[str], texts: list[str]) -> list[np.ndarray]:
+        cuts = range(0, len(texts), 16 * 20)
+        return [np.concatenate([np.zeros(0), *(np.asarray(scorer(queries[i : i + 320], texts[i : i + 320]), dtype=np.float64) for i in cuts)])]
 
-    return pairs.mapInPandas(run, pairs.withColumn("score", F.lit(0.0)).schema)
+    return with_made(pairs, "score double", ["query_text", "text"], lambda: score)
 
 
 def overlap_scorer(queries: Sequence[str], texts: Sequence[str]) -> list[float]:
@@ -91,20 +91,17 @@ def rewrite(rows: DataFrame, rewriter: Callable[[str], str], text: str = "conten
             return None, f"API: {e}"
         return (q, None) if q and q.strip() else (None, "empty")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            done = [one(t) for t in part[text].fillna("")]
-            yield part.assign(query=[q for q, _ in done], error=[e for _, e in done])
+    def run(texts: list[str | None]) -> tuple[Sequence, ...]:
+        done = [one(t or "") for t in texts]
+        return [q for q, _ in done], [e for _, e in done]
 
-    null = F.lit(None).cast("string")
-    return rows.mapInPandas(run, rows.withColumns({"query": null, "error": null}).schema)
+    return with_made(rows, "query string, error string", [text], lambda: run)
 
 
 def judge(results: DataFrame, judgement: Callable[[str, str], float]) -> DataFrame:
     """results (query_text, context, ...) with a judgement."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part.assign(judgement=[float(judgement(q, c)) for q, c in zip(part["query_text"], part["context"], strict=True)])
+    def run(queries: list[str], contexts: list[str]) -> list[list[float]]:
+        return [[float(judgement(q, c)) for q, c in zip(queries, contexts, strict=True)]]
 
-    return results.mapInPandas(run, results.withColumn("judgement", F.lit(0.0)).schema)
+    return with_made(results, "judgement double", ["query_text", "context"], lambda: run)

@@ -198,3 +198,11 @@ def test_bm25_searches_with_all_words(spark, tmp_path):
                 want[q, i] = want.get((q, i), 0) + math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(own) / mean))
     got = {(r.qid, r.id): r.score for r in texts.bm25_topk_whole(spark, str(tmp_path)).collect()}
     assert got == {k: pytest.approx(v, abs=1e-8) for k, v in want.items()} and (7, 2) in got and (8, 4) in got
+
+
+def test_model_jobs_leave_large_ids_beside_nulls(spark):
+    big = (1 << 60) + 1
+    rows = frame(spark, [(big, "a b", "a c", "x"), (None, "q", "", None)], "id long, query_text string, text string, context string").coalesce(1)
+    assert {r.id: r.score for r in D.score_pairs(rows, D.overlap_scorer).collect()} == {big: 0.5, None: 0.0}
+    assert {r.id: (r.query, r.error) for r in D.rewrite(rows, str.upper, "text").collect()} == {big: ("A C", None), None: (None, "empty")}
+    assert {r.id: r.judgement for r in D.judge(rows, lambda q, c: len(q)).collect()} == {big: 3.0, None: 1.0}
