@@ -8,6 +8,7 @@ therefore costs its running tasks, never an earlier stage.
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,8 +64,49 @@ def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(lengths)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=U64, count=len(words))
+_GAP = np.zeros(256, dtype=bool)
+_GAP[[0x20, *range(0x09, 0x0E)]] = True
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Random values of the bytes, from a fixed seed.
+_BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=U64)
+#: Bytes that are hashed at once; longer words are hashed one by one, since a rolling hash can be fooled by them.
+CHUNK, LONG_WORD = 1 << 18, 255
+
+
+def hashed_words(texts: list[str], lower: bool = False, edges: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words [^\\x20\\x09-\\x0D]+ in a row, and how many each text has.
+
+    With lower, A-Z count as a-z; with edges, words lose these bytes at both ends, and words of nothing else go.
+    """
+    raw = [t.encode() for t in texts]
+    data = b"\n".join(raw).lower() if lower else b"\n".join(raw)
+    off = np.zeros(256, dtype=bool)
+    off[list(edges)] = True
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        end = min(at + CHUNK, len(data))
+        if end < len(data):
+            found = _SPACE.search(data, end)
+            end = found.start() if found else len(data)
+        part = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
+        gap = np.concatenate([[True], _GAP[part], [True]])
+        begin, stop = np.flatnonzero(gap[:-2] & ~gap[1:-1]), np.flatnonzero(~gap[1:-1] & gap[2:]) + 1
+        if edges and len(begin):
+            while (cut := (begin < stop) & off[part[np.minimum(begin, len(part) - 1)]]).any():
+                begin = begin + cut
+            while (cut := (begin < stop) & off[part[stop - 1]]).any():
+                stop = stop - cut
+            begin, stop = begin[begin < stop], stop[begin < stop]
+        if len(begin):
+            h = Rolling(_BYTES[part], BASE_A).of(begin, stop - begin)
+            for k in np.flatnonzero(stop - begin > LONG_WORD):
+                h[k] = xxhash.xxh3_64_intdigest(part[begin[k] : stop[k]].tobytes())
+            hashes.append(h)
+            starts.append(begin + at)
+        at = end
+    starts = np.concatenate([np.zeros(0, np.int64), *starts])
+    ends = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, np.int64)
+    return np.concatenate([np.zeros(0, U64), *hashes]), np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -76,17 +118,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+_powers: dict = {}
+
+
+def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i for i up to n at least, kept by the worker while they are short."""
+    up, down = _powers.get(int(base), (np.zeros(0, U64),) * 2)
+    if len(up) <= n:
+        up, down = (np.full(2 * n + 1, x, dtype=U64) for x in (base, U64(pow(int(base), -1, 1 << 64))))
+        up[0] = down[0] = U64(1)
+        np.multiply.accumulate(up, out=up)
+        np.multiply.accumulate(down, out=down)
+        if n <= 4 * CHUNK:
+            _powers[int(base)] = up, down
+    return up, down
+
+
 class Rolling:
     """Hashes of any run of words in O(1) each: prefix sums of w[i] * base^-i, scaled back by base^(end-1)."""
 
     def __init__(self, words: np.ndarray, base: np.uint64):
         n = len(words)
-        inverse = U64(pow(int(base), -1, 1 << 64))
-        self.up = np.full(n + 1, base, dtype=U64)
-        down = np.full(n + 1, inverse, dtype=U64)
-        self.up[0] = down[0] = U64(1)
-        np.multiply.accumulate(self.up, out=self.up)
-        np.multiply.accumulate(down, out=down)
+        self.up, down = powers(base, n)
         self.sums = np.zeros(n + 1, dtype=U64)
         np.cumsum(words * down[:n], out=self.sums[1:])
 

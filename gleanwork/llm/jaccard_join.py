@@ -1,24 +1,29 @@
 """Exact Jaccard join on word shingles: grouped prefix join, down to one class per distinct set.
 
-1. Counting. Documents are read once, in blocks. A block deals its shingle hashes to
-   buckets of the hash, each bucket counts in how many distinct sets of a block every
-   shingle occurs, and sends back only those that occur twice or more in the corpus. Four
-   fifths of all shingles end there. A shingle of a block's set moves as 10 bytes.
-2. Classes. Documents with equal sets are one class. With shingles ordered from rare to
+1. Counting. Documents are read once and gathered in blocks, which hold only hashes. A block
+   deals the tokens (shortened hashes) of its distinct sets to buckets; each bucket counts
+   in how many sets of a block every token occurs, and sends back only those that occur twice
+   or more in the corpus. About three quarters of all tokens end there. A token of a set moves as WIDTH
+   bytes, the rest of it is the bucket's number, with a byte for the step to its owner.
+2. Classes. Documents with equal sets are one class. With tokens ordered from rare to
    common, two linked sets share one within their prefixes, the first
-   n - ceil(0.75 n) + 1. Shingles of one document alone come first and match nothing,
+   n - ceil(0.75 n) + 1. Tokens of one document alone come first and match nothing,
    so most documents have an empty rest of the prefix and no candidate at all.
 3. Groups. Classes of one size with one prefix are one group, and group pairs that share
-   a prefix shingle, fit in size and can still overlap enough after it are candidates.
+   a prefix token, fit in size and can still overlap enough after it are candidates.
 4. Verifying. Group pairs are expanded to classes and sets intersected. The answer is the
    component of every document, so pairs that are already known to be connected need no
    test: first each list of groups is tested against one pivot group (a number of pairs
    that grows with the lists, not their square), then what remains in different components
    is tested pair by pair. No partner or candidate is capped.
 
+A token has TOKEN_BITS bits or more, so two shingles of two documents of 500 words are taken for one
+with a chance under 2e-8; equal sets are told by 128 bits of all 64-bit hashes.
+
 Edge cases: null or empty texts and texts of white space have an empty set, no link and
 their own doc_id as component; texts under SHINGLE words have the whole sequence as one
-shingle; equal texts are linked; repeated rows get one row each; an empty table gives no
+shingle; equal texts are linked; repeated rows get one row each; rows that repeat a doc_id with
+another text are one node, which has the links of all its texts; an empty table gives no
 rows; other columns are ignored; very long texts are read whole.
 """
 
@@ -28,123 +33,169 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm.common import BASE_A, U64, Rolling, as_long, documents, parts_for, slices, staged, table, word_hashes
+from gleanwork.functions.batches import lists
+from gleanwork.llm.common import BASE_A, U64, Rolling, documents, hashed_words, parts_for, staged, table
 from gleanwork.llm.components import components
 
 SHINGLE = 5
 #: Links need 100 * overlap >= PERCENT * union.
 PERCENT = 75
-#: Characters of a block of documents, and of text behind one bucket of hashes.
-BLOCK, BUCKET = 4_000_000, 12_000_000
+#: Bytes of text whose words are held at once; bytes of text behind a block, and behind a bucket of tokens.
+TEXT, BLOCK, BUCKET = 500_000, 16_000_000, 16_000_000
+TOKEN_BITS = 44
 
 DEALT = "bucket int, block long, payload binary, owners binary"
+_LISTED = [("id", "<i8"), ("version", "<i8"), ("set", "<u4")]
+_HEADS = [("digest", "V16"), ("n", "<i8")]
 
 
-def _sets(texts: pd.Series, shingle: int) -> list[np.ndarray]:
+def _sets(texts: list[str], shingle: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words = [t.encode().lower().split() for t in texts]
-    counts = np.array([len(w) for w in words], dtype=np.int64)
+    hashes, counts = hashed_words(texts, lower=True)
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    hashes = word_hashes([x for w in words for x in w])
     rolling = Rolling(hashes, BASE_A)
     own = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
-    doc = np.repeat(np.arange(len(words)), own)
+    doc = np.repeat(np.arange(len(texts)), own)
     at = bounds[doc] + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
     h = rolling.of(at, np.minimum(counts[doc], shingle)) if len(at) else np.zeros(0, U64)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     keep = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
     h, doc = h[keep], doc[keep]
-    return np.split(h, np.cumsum(np.bincount(doc, minlength=len(words)))[:-1])
-
-
-def _deal(batches: Iterator[pd.DataFrame], shingle: int, buckets: int) -> Iterator[pd.DataFrame]:
-    """Rows for the buckets, and one row with a block's documents, dealt by the block."""
-    for batch in batches:
-        for i, j in slices(batch["text"].str.len().tolist(), BLOCK):
-            part = batch.iloc[i:j]
-            sets = _sets(part["text"], shingle)
-            digests = np.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], dtype="S16")
-            distinct, first, which = np.unique(digests, return_index=True, return_inverse=True)
-            ids = part["doc_id"].to_numpy(dtype=np.int64)
-            block = xxhash.xxh3_64_intdigest(ids.tobytes() + digests.tobytes()) >> 1
-            sizes = np.array([len(sets[k]) for k in first], dtype=np.int64)
-            h = np.concatenate([sets[k] for k in first]) if len(first) else np.zeros(0, U64)
-            owner = np.repeat(np.arange(len(first), dtype=np.uint16 if len(first) <= 1 << 16 else np.uint32), sizes)
-            to = (h % U64(buckets)).astype(np.int64)
-            order = np.lexsort((h, to))
-            h, owner, to = h[order], owner[order], to[order]
-            there, begin = np.unique(to, return_index=True)
-            rows = [(int(b), block, x.tobytes(), y.tobytes()) for b, x, y in zip(there, np.split(h, begin[1:]), np.split(owner, begin[1:]), strict=True)] if len(h) else []
-            listed = np.empty(len(ids), dtype=[("id", "<i8"), ("set", "<u4")])
-            listed["id"], listed["set"] = ids, which
-            heads = np.empty(len(first), dtype=[("digest", "V16"), ("n", "<i8")])
-            heads["digest"], heads["n"] = distinct.view("V16"), sizes
-            rows.append((-1 - block % buckets, block, listed.tobytes(), heads.tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "block", "payload", "owners"])
-
-
-def _owners(owners: bytes, payload: bytes) -> np.ndarray:
-    """Two bytes each, or four in a block of very many sets; the hashes beside them have eight."""
-    return np.frombuffer(owners, dtype=np.uint16 if 4 * len(owners) == len(payload) else np.uint32)
-
-
-def _count(dealt: pd.DataFrame) -> pd.DataFrame:
-    """For each block what of its shingles occurs in two sets or more, with a byte that grows with the count."""
-    if dealt["bucket"].iloc[0] < 0:
-        return dealt[["block", "payload", "owners"]].assign(grades=None)
-    hashes = [np.frombuffer(x, dtype=U64) for x in dealt["payload"]]
-    flat = np.concatenate(hashes)
-    order = np.argsort(flat, kind="stable")
+    return np.split(h, np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1])
+
+
+def _narrow(values: np.ndarray, width: int) -> bytes:
+    """The low bytes of unsigned 64-bit values."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _wide(data: bytes, width: int) -> np.ndarray:
+    low = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+    out = np.zeros((len(low), 8), dtype=np.uint8)
+    out[:, :width] = low
+    return out.view("<u8").reshape(-1)
+
+
+def _steps(owners: np.ndarray) -> bytes:
+    """Rising numbers as a byte each, the step from the one before; 255 adds and goes on."""
+    step = np.diff(owners, prepend=0)
+    more = step // 255
+    out = np.full(int((more + 1).sum()), 255, dtype=np.uint8)
+    out[np.cumsum(more + 1) - 1] = step % 255
+    return out.tobytes()
+
+
+def _numbers(steps: bytes) -> np.ndarray:
+    b = np.frombuffer(steps, dtype=np.uint8)
+    return np.cumsum(b, dtype=np.int64)[b < 255]
+
+
+def _block_rows(listed: list[tuple[int, int, int]], digests: list[bytes], sets: list[np.ndarray], buckets: int, width: int) -> pa.RecordBatch:
+    """The block's tokens by bucket, and one row with its documents under a negative bucket."""
+    docs = np.array(listed, dtype=_LISTED)
+    heads = np.empty(len(sets), dtype=_HEADS)
+    heads["digest"], heads["n"] = np.array(digests, dtype="S16").view("V16"), [len(x) for x in sets]
+    block = xxhash.xxh3_64_intdigest(docs.tobytes() + heads.tobytes()) >> 1
+    token = np.concatenate([np.zeros(0, U64), *sets])
+    owner = np.repeat(np.arange(len(sets)), heads["n"])
+    token %= U64(buckets << 8 * width)
+    to = (token >> U64(8 * width)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(to, kind="stable")
+    token, owner, to = token[order], owner[order], to[order]
+    there, begin = np.unique(to, return_index=True)
+    ends = np.append(begin, len(to))[1:]
+    payload = [_narrow(token[i:j], width) for i, j in zip(begin, ends, strict=True)]
+    owners = [_steps(owner[i:j]) for i, j in zip(begin, ends, strict=True)]
+    arrays = [pa.array([*there.tolist(), -1 - block % buckets], pa.int32()), pa.array([block] * (len(there) + 1), pa.int64()), pa.array([*payload, docs.tobytes()], pa.binary()), pa.array([*owners, heads.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in DEALT.split(", ")])
+
+
+def _deal(batches: Iterator[pa.RecordBatch], shingle: int, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
+    listed, digests, sets, known, size = [], [], [], {}, 0
+    for _, (ids, versions, texts) in lists(batches, ["doc_id", "version", "text"], "text", TEXT):
+        for i, v, t, own in zip(ids, versions, texts, _sets(texts, shingle), strict=True):
+            digest = xxhash.xxh3_128_digest(own.tobytes())
+            if digest not in known:
+                known[digest] = len(sets)
+                digests.append(digest)
+                sets.append(own)
+            listed.append((i, v, known[digest]))
+            size += len(t)
+        if size > BLOCK:
+            yield _block_rows(listed, digests, sets, buckets, width)
+            listed, digests, sets, known, size = [], [], [], {}, 0
+    if listed:
+        yield _block_rows(listed, digests, sets, buckets, width)
+
+
+def _count(dealt: pd.DataFrame, width: int) -> pd.DataFrame:
+    """For each block what of its tokens occurs in two sets or more, with a byte that grows with the count."""
+    bucket = dealt["bucket"].iloc[0]
+    if bucket < 0:
+        return dealt[["bucket", "block", "payload", "owners"]].assign(grades=None)
+    tokens = [_wide(x, width) for x in dealt["payload"]]
+    flat = np.concatenate(tokens)
+    order = np.argsort(flat)
     s = flat[order]
     begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    counts = np.empty(len(flat), dtype=np.int64)
-    counts[order] = np.repeat(np.diff(np.append(begin, len(s))), np.diff(np.append(begin, len(s))))
+    each = np.diff(np.append(begin, len(s)))
+    counts = np.empty(len(flat), dtype=np.int32)
+    counts[order] = np.repeat(each, each)
     rows, at = [], 0
-    for block, h, payload, owners in zip(dealt["block"], hashes, dealt["payload"], dealt["owners"], strict=True):
-        own = counts[at : at + len(h)]
-        at += len(h)
-        keep = own > 1
+    for block, own, owners in zip(dealt["block"], tokens, dealt["owners"], strict=True):
+        n = counts[at : at + len(own)]
+        at += len(own)
+        keep = n > 1
         if keep.any():
-            grade = np.minimum(255, np.round(16 * np.log2(own[keep]))).astype(np.uint8)
-            rows.append((block, h[keep].tobytes(), _owners(owners, payload)[keep].tobytes(), grade.tobytes()))
-    return pd.DataFrame(rows, columns=["block", "payload", "owners", "grades"])
+            grade = np.minimum(255, np.round(16 * np.log2(n[keep]))).astype(np.uint8)
+            rows.append((bucket, block, _narrow(own[keep], width), _steps(_numbers(owners)[keep]), grade.tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "block", "payload", "owners", "grades"])
 
 
-def _rare_first(block: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Per document its set's size and digest; where the prefix has a shared shingle also the shared ones, rare to common."""
+def _rare_first(block: pd.DataFrame, percent: int, width: int) -> pd.DataFrame:
+    """Per document its set's size and digest; for the smallest doc_id of a set whose prefix has a shared token also the shared ones, rare to common."""
     plain = block["grades"].isna()
-    shared = block[~plain]
-    h, grade = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, dtype=kind) for x in shared[c])]) for c, kind in (("payload", U64), ("grades", np.uint8)))
-    owner = np.concatenate([np.zeros(0, np.uint16), *(_owners(x, y) for x, y in zip(shared["owners"], shared["payload"], strict=True))])
-    order = np.lexsort((h, grade, owner))
-    h, owner = h[order], owner[order]
-    once = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.zeros(0, bool)  # equal blocks of repeated rows
-    h, owner, out = h[once], owner[once], []
+    shared = block[~plain].drop_duplicates("bucket")  # equal blocks of repeated rows come twice
+    token = np.concatenate([np.zeros(0, U64), *(_wide(x, width) | U64(int(b) << 8 * width) for b, x in zip(shared["bucket"], shared["payload"], strict=True))])
+    grade = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, dtype=np.uint8) for x in shared["grades"])])
+    owner = np.concatenate([np.zeros(0, np.int64), *map(_numbers, shared["owners"])])
+    order = np.lexsort((token, grade, owner))
+    token, owner, out = token[order].view(np.int64), owner[order], []
     for listed, heads in zip(block.loc[plain, "payload"], block.loc[plain, "owners"], strict=True):
-        listed = np.frombuffer(listed, dtype=[("id", "<i8"), ("set", "<u4")])
-        heads = np.frombuffer(heads, dtype=[("digest", "V16"), ("n", "<i8")])
+        listed, heads = np.frombuffer(listed, dtype=_LISTED), np.frombuffer(heads, dtype=_HEADS)
         n = heads["n"]
         shared = np.bincount(owner, minlength=len(n)).astype(np.int64)
         prefix = shared - -(-percent * n // 100) + 1  # of the shared ones; those of one set alone come before
         begin = np.cumsum(shared) - shared
-        sets = [h[b : b + s].view(np.int64).tolist() if p > 0 and k else None for b, s, p, k in zip(begin, shared, prefix, n, strict=True)]
         digest = [x.tobytes() for x in heads["digest"]]
-        out.append(pd.DataFrame({"doc_id": listed["id"], "n_shingles": n[listed["set"]], "digest": [digest[k] for k in listed["set"]], "prefix": np.maximum(prefix, 0)[listed["set"]], "tokens": [sets[k] for k in listed["set"]]}))
+        rows = pd.DataFrame({"doc_id": listed["id"], "version": listed["version"], "n_shingles": n[listed["set"]], "digest": [digest[k] for k in listed["set"]], "prefix": np.maximum(prefix, 0)[listed["set"]], "tokens": None})
+        by_id = np.lexsort((listed["id"], listed["set"]))
+        sets, first = np.unique(listed["set"][by_id], return_index=True)
+        column = rows["tokens"].to_numpy(dtype=object, copy=True)
+        for k, at in zip(sets, by_id[first], strict=True):
+            if prefix[k] > 0 and n[k]:
+                column[at] = token[begin[k] : begin[k] + shared[k]]
+        out.append(rows.assign(tokens=column))
     return pd.concat(out)
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, digest, prefix, tokens) for each row of docs; tokens are null where no link is possible but to an equal set."""
+    """(doc_id, version, n_shingles, digest, prefix, tokens) for each row of docs; version is a hash of its text.
+
+    Tokens are null where no link is possible but to an equal set, and where a smaller doc_id of the block has the set.
+    """
     texts = documents(docs)
     buckets = parts_for(texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0], BUCKET, 16)
-    dealt = texts.mapInPandas(lambda b: _deal(b, shingle, buckets), DEALT)
-    counted = dealt.groupBy("bucket").applyInPandas(_count, "block long, payload binary, owners binary, grades binary")
-    return counted.groupBy("block").applyInPandas(lambda b: _rare_first(b, percent), "doc_id long, n_shingles long, digest binary, prefix long, tokens array<long>")
+    width = -(-max(1, TOKEN_BITS - buckets.bit_length() + 1) // 8)
+    dealt = texts.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(lambda b: _deal(b, shingle, buckets, width), DEALT)
+    counted = dealt.groupBy("bucket").applyInPandas(lambda b: _count(b, width), "bucket int, block long, payload binary, owners binary, grades binary")
+    return counted.groupBy("block").applyInPandas(lambda b: _rare_first(b, percent, width), "doc_id long, version long, n_shingles long, digest binary, prefix long, tokens array<long>")
 
 
 def _least_overlap(a: str, b: str, percent: int):
@@ -199,17 +250,18 @@ def class_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of docs."""
+    """(doc_id, version, n_shingles, component_id) per row of docs; version is xxhash64 of its text."""
     sets = staged(shingle_sets(docs, shingle, percent), "sets")
     full = sets.where("n_shingles > 0")
     ids = full.groupBy("digest").agg(F.min("doc_id").alias("class"))
-    able = full.where("tokens is not null").join(ids.withColumnRenamed("class", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    able = full.where("tokens is not null").join(ids.withColumnRenamed("class", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
     classes = staged(able.select(F.col("doc_id").alias("class"), F.col("n_shingles").alias("n"), "prefix", "tokens"), "classes")
     roots = components(class_links(classes, percent))
     of_class = ids.join(roots, F.col("class") == F.col("node"), "left").select("digest", F.coalesce("root", "class").alias("component_id"))
-    linked = sets.select("doc_id", "n_shingles", "digest").where("n_shingles > 0").join(of_class, "digest").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    kept = ["doc_id", "version", "n_shingles"]
+    linked = sets.where("n_shingles > 0").select(*kept, "digest").join(of_class, "digest").select(*kept, "component_id")
+    return linked.unionByName(sets.where("n_shingles = 0").select(*kept, F.col("doc_id").alias("component_id")))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

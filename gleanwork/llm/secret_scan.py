@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanwork.functions.batches import with_made
 from gleanwork.llm.common import documents, table
 
 
@@ -205,27 +206,32 @@ def find(data: bytes, start: list, rules: list[tuple[Rule, re.Pattern]]) -> list
 
 
 def _finder(rules: tuple[Rule, ...]):
+    """A function that a task calls once for its own finder of the spans of texts."""
     moves, accepts = starts_automaton([r.seek or r.regex for r in rules])
 
-    def of(texts: Iterator[str]) -> Iterator[list[tuple[int, int, int]]]:
+    def ready():
         start, compiled = linked_rows(moves, accepts), [(r, re.compile(r.regex.encode())) for r in rules]
-        for text in texts:
+
+        def of(text: str) -> list[tuple[int, int, int]]:
             data = text.encode()
             spans = find(data, start, compiled)
             if spans and len(data) != len(text):
                 spans = [(len(data[:a].decode()), i, len(data[:b].decode())) for a, i, b in spans]
-            yield spans
+            return spans
+
+        return of
 
-    return of
+    return ready
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>) per row of docs, in order of start and then rule."""
-    finder = _finder(rules)
+    ready = _finder(rules)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = ready()
         for batch in batches:
-            found = [[{"kind": rules[i].kind, "start": a, "end": b} for a, i, b in s] for s in finder(batch["text"])]
+            found = [[{"kind": rules[i].kind, "start": a, "end": b} for a, i, b in of(t)] for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": found})
 
     return documents(docs).mapInPandas(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
@@ -233,21 +239,22 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every secret in text replaced by [kind]; overlapping spans become one, named by the first."""
-    finder = _finder(rules)
+    ready = _finder(rules)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text, spans in zip(batch["text"], finder(batch["text"].fillna("")), strict=True):
-                parts, at = [], 0
-                for a, i, b in spans:
-                    if a >= at:
-                        parts += [text[at:a], f"[{rules[i].kind}]"]
-                    at = max(at, b)
-                out.append("".join(parts) + text[at:] if spans else text)
-            yield batch.assign(text=out)
-
-    return docs.mapInPandas(run, docs.schema)
+    def start():
+        of = ready()
+
+        def hidden(text: str) -> str:
+            parts, at = [], 0
+            for a, i, b in of(text):
+                if a >= at:
+                    parts += [text[at:a], f"[{rules[i].kind}]"]
+                at = max(at, b)
+            return "".join(parts) + text[at:]
+
+        return lambda texts: [[t and hidden(t) for t in texts]]
+
+    return with_made(docs, "text string", ["text"], start, "text")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

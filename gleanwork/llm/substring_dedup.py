@@ -6,20 +6,22 @@ have equal anchors at equal places. An anchor with every window that picked it i
 row (a reach); reaches meet on the anchor and are extended both ways:
 
 * a reach whose words are the same as an earlier one's is a repeat as a whole;
-* reaches that share the anchor but differ further out are extended window by window,
-  by 128-bit hashes of the words; only the first reach of each wording takes part.
+* reaches that share the anchor but differ further out are extended for all of them at once: a
+  window is the anchor with so many words to its left and the rest to its right, told by
+  128 bits of its words' hashes; only the first reach of each wording takes part.
 
 Runs of repeated windows that touch or overlap merge to maximal repeats when they are
 cut from the document.
 
-Hot passages: within a block of documents only a reach's first occurrence goes on as a
-row that is compared; the rest are repeats already and are dealt by their own position.
-First occurrences are reduced map side before each join.
+Hot passages: within a block of documents (BLOCK bytes of text, of which only hashes are held)
+only a reach's first occurrence goes on as a row that is compared; the rest are repeats already
+and are dealt by their own position.
 
 Edge cases: null and empty texts have no words; texts under LENGTH words keep all; the
 earlier of two windows is the one with the smaller doc_id, then the smaller start; an
-empty table gives no rows; other columns are ignored. doc_id is a key: rows that repeat a
-doc_id are compared by start alone, so equal rows keep their words alike.
+empty table gives no rows; other columns are ignored; very long texts are read whole. doc_id is a
+key: rows that repeat a doc_id are compared by start alone, so equal rows are no repeats of each
+other and keep their words alike.
 """
 
 from __future__ import annotations
@@ -28,24 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanwork.llm.common import BASE_A, BASE_B, Rolling, as_long, documents, slices, staged, table, word_hashes
+from gleanwork.functions.batches import lists
+from gleanwork.llm.common import BASE_A, BASE_B, Rolling, as_long, documents, hashed_words, slices, staged, table
 
 LENGTH = 20
 SEED = 8
-#: Characters whose words are hashed at once.
-BLOCK = 3_000_000
+#: Bytes of text whose words are hashed at once, and of a block whose reaches are compared before they move.
+TEXT, BLOCK = 1_000_000, 24_000_000
 
 REACHES = "anchor long, wording long, doc_id long, start int, windows int, repeat boolean"
-
-
-def _words(texts: pd.Series) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words by document, all word hashes in a row, and the document's first place there."""
-    words = [t.encode().split() for t in texts]
-    counts = np.array([len(w) for w in words], dtype=np.int64)
-    return words, word_hashes([x for w in words for x in w]), np.concatenate([[0], np.cumsum(counts)])
+REACH = [c.split()[0] for c in REACHES.split(", ")]
 
 
 def _reaches(ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, length: int, seed: int) -> pd.DataFrame:
@@ -53,7 +51,7 @@ def _reaches(ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, length: in
     counts = np.diff(bounds)
     doc = np.repeat(np.arange(len(ids)), counts)
     if n <= 0:
-        return pd.DataFrame({c.split()[0]: [] for c in REACHES.split(", ")})
+        return pd.DataFrame({c: np.zeros(0, kind) for c, kind in zip(REACH, ("i8", "i8", "i8", "i4", "i4"), strict=False)})
     rolling = Rolling(hashes, BASE_A)
     seeds = rolling.of(np.arange(len(hashes) - seed + 1), seed)
     best, at, have, want = seeds, np.arange(len(seeds)), 1, length - seed + 1
@@ -68,27 +66,40 @@ def _reaches(ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, length: in
     start = np.flatnonzero(first)
     ends = np.flatnonzero(valid & np.append(~valid[1:] | first[1:], True))
     windows = ends - start + 1
-    rows = pd.DataFrame({"anchor": as_long(seeds[at[start]]), "wording": as_long(Rolling(hashes, BASE_B).of(start, windows + length - 1)), "doc_id": ids[doc[start]], "start": (start - bounds[doc[start]]).astype(np.int32), "windows": windows.astype(np.int32)})
-    order = np.lexsort((rows["start"], rows["doc_id"], rows["wording"], rows["anchor"]))
-    rows = rows.iloc[order]
-    rows["repeat"] = rows.duplicated(["anchor", "wording"], keep="first")
-    return rows
+    return pd.DataFrame({"anchor": as_long(seeds[at[start]]), "wording": as_long(Rolling(hashes, BASE_B).of(start, windows + length - 1)), "doc_id": ids[doc[start]], "start": (start - bounds[doc[start]]).astype(np.int32), "windows": windows.astype(np.int32)})
 
 
-def _starts_by_document(batches: Iterator[pd.DataFrame], length: int, seed: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for i, j in slices(batch["text"].str.len().tolist(), BLOCK):
-            part = batch.iloc[i:j]
-            _, hashes, bounds = _words(part["text"])
-            yield _reaches(part["doc_id"].to_numpy(), hashes, bounds, length, seed)
+def _block(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    """The reaches of a block; repeat says that the block has the same words at an earlier place."""
+    rows = pd.concat(parts)
+    rows = rows.iloc[np.lexsort((rows["start"], rows["doc_id"], rows["wording"], rows["anchor"]))]
+    anchor, wording, doc, start = (rows[c].to_numpy() for c in ("anchor", "wording", "doc_id", "start"))
+    new = np.append(True, (anchor[1:] != anchor[:-1]) | (wording[1:] != wording[:-1])) if len(rows) else np.zeros(0, bool)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return rows.assign(repeat=(doc != doc[first]) | (start != start[first]))
+
+
+def _starts_by_document(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
+    parts, size = [], 0
+    as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows[c].to_numpy()) for c in REACH], names=REACH)
+    for part, (texts,) in lists(batches, ["text"], "text", TEXT):
+        hashes, counts = hashed_words(texts)
+        parts.append(_reaches(part.column("doc_id").to_numpy(), hashes, np.concatenate([[0], np.cumsum(counts)]), length, seed))
+        size += sum(map(len, texts))
+        if size > BLOCK:
+            yield as_batch(_block(parts))
+            parts, size = [], 0
+    if parts:
+        yield as_batch(_block(parts))
 
 
 def _window_hashes(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     """The windows of the reaches listed with each document."""
     for batch in batches:
-        for i, j in slices(batch["text"].str.len().tolist(), BLOCK):
+        for i, j in slices(batch["text"].str.len().tolist(), TEXT):
             part = batch.iloc[i:j]
-            _, hashes, bounds = _words(part["text"])
+            hashes, words = hashed_words(part["text"].tolist())
+            bounds = np.concatenate([[0], np.cumsum(words)])
             starts = [np.array([r["start"] for r in x], dtype=np.int64) for x in part["reaches"]]
             counts = [np.array([r["windows"] for r in x], dtype=np.int64) for x in part["reaches"]]
             own = np.concatenate([np.repeat(s, c) + (np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)) for s, c in zip(starts, counts, strict=True)])
@@ -101,7 +112,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     """(doc_id, start, words): word runs all of whose windows occur earlier; runs may overlap."""
     texts = documents(docs)
     place = F.struct("doc_id", "start")
-    reaches = texts.mapInPandas(lambda b: _starts_by_document(b, length, seed), REACHES)
+    reaches = texts.mapInArrow(lambda b: _starts_by_document(b, length, seed), REACHES)
     # What a block knows to be a repeat is spread by its own place, so that it meets no other row.
     spread = F.when(F.col("repeat"), F.xxhash64("doc_id", "start", "anchor"))
     rows = reaches.withColumns({"anchor": F.coalesce(spread, "anchor"), "place": place})

@@ -1,16 +1,17 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Labels are learnt from a bounded sample of TRAIN_ROWS labelled rows, the first by a hash
-of doc_id among those that are not held out, so every size of table trains alike. Their texts are
-found by a broadcast of those ids; features are made by all executors, one task
-runs the sequential FTRL passes over them. Per-coordinate rates and L1 leave few non-zero weights
-(at most 2^BITS by construction), which are broadcast for scoring; scoring reads each text
+Labels are learnt from a bounded sample: of the labelled rows that are not held out the first
+TRAIN_ROWS by a hash of doc_id, and of these the first whose features take TRAIN_BYTES together, so every
+size of table trains alike. Their texts are found by a broadcast of those ids; features are made by
+all executors, one task runs the sequential FTRL passes over them. Per-coordinate rates and L1 leave few
+non-zero weights (at most 2^BITS by construction), which are broadcast for scoring; scoring reads each text
 once and shuffles nothing.
 
 Edge cases: null and empty texts are scored by the intercept alone; labels that are null or neither
 0 nor 1 are not learnt from; a doc_id labelled twice counts with its larger label; without any label every
 score is 0.5; repeated rows get one row each; an empty table gives no rows; other columns are
-kept by score() and reject(); very long texts are read whole.
+kept by score() and reject(), which also score rows without a doc_id; the query leaves such rows out, since
+it cannot name them; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -19,27 +20,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanwork.llm.common import BASE_A, BASE_B, U64, mix, slices, staged, table, word_hashes
+from gleanwork.functions.batches import lists, with_made
+from gleanwork.llm.common import BASE_A, BASE_B, U64, hashed_words, mix, staged, table
 
-#: Bits of a feature's index, labelled rows that are learnt from, passes over them.
-BITS, TRAIN_ROWS, PASSES = 20, 16_000, 4
+#: Bits of a feature's index, labelled rows that are learnt from and bytes of their features (4 each), passes over them.
+BITS, TRAIN_ROWS, TRAIN_BYTES, PASSES = 20, 16_000, 200_000_000, 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 0.01
 #: Weight of a toxic row in the fit; toxic rows are few.
 TOXIC_WEIGHT = 4.0
 THRESHOLD = 0.7
-BLOCK = 3_000_000
+#: Bytes of text whose words are held at once.
+TEXT = 500_000
 EDGES = b".,;:!?\"'()[]{}|*$%&"
 
 
 def features(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(document, index) pairs, sorted and distinct: words, neighbours, and pairs with one word between."""
-    words = [[y for y in (x.strip(EDGES) for x in t.encode().lower().split()) if y] for t in texts]
-    counts = np.array([len(w) for w in words], dtype=np.int64)
-    h = word_hashes([x for w in words for x in w])
+    h, counts = hashed_words(texts, lower=True, edges=EDGES)
     doc = np.repeat(np.arange(len(texts)), counts)
     parts = [(doc, mix(h))]
     for gap, base in ((1, BASE_A), (2, BASE_B)):
@@ -76,19 +78,18 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passes: int = PASSES, bits: int = BITS) -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passes: int = PASSES, bits: int = BITS, most: int = TRAIN_BYTES) -> DataFrame:
     """(index, weight): the non-zero weights; index 2^bits is the intercept."""
     usable = labels.where(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i, j in slices(batch["text"].str.len().tolist(), BLOCK):
-                part = batch.iloc[i:j]
-                doc, index = features(part["text"].tolist(), bits)
-                cuts = np.searchsorted(doc, np.arange(1, len(part)))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "label": part["label"], "found": [x.astype(np.uint32).tobytes() for x in np.split(index, cuts)]})
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (found,) in lists(batches, ["text"], "text", TEXT):
+            doc, index = features(found, bits)
+            cuts = np.searchsorted(doc, np.arange(1, part.num_rows))
+            own = pa.array([x.astype(np.uint32).tobytes() for x in np.split(index, cuts)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), own], names=["doc_id", "label", "found"])
 
     def train(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.assign(order=[xxhash.xxh3_64_intdigest(str(x).encode()) for x in sample["doc_id"]]).sort_values(["order", "doc_id", "found"])
@@ -101,7 +102,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passes: int
         index = np.flatnonzero(w)
         return pd.DataFrame({"index": index, "weight": w[index]})
 
-    encoded = texts.mapInPandas(encode, "doc_id long, label int, found binary")
+    encoded = staged(texts.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(encode, "doc_id long, label int, found binary"), "toxicity-rows")
+    so_far = F.sum("bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sizes = encoded.groupBy("doc_id").agg(F.sum(F.length("found")).alias("bytes"))
+    encoded = encoded.join(F.broadcast(sizes.withColumn("so_far", so_far).where(F.col("so_far") <= most).select("doc_id")), "doc_id", "left_semi")
     return encoded.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(train, "index long, weight double")
 
 
@@ -110,18 +114,19 @@ def score(docs: DataFrame, weights: DataFrame, bits: int = BITS, name: str = "sc
     found = weights.toPandas()
     shared = docs.sparkSession.sparkContext.broadcast((found["index"].to_numpy(), found["weight"].to_numpy()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, weight = shared.value
+    def start():
         w = np.zeros((1 << bits) + 1)
+        index, weight = shared.value
         w[index] = weight
-        for batch in batches:
-            texts = batch["text"].fillna("")
-            for i, j in slices(texts.str.len().tolist(), BLOCK):
-                doc, at = features(texts.iloc[i:j].tolist(), bits)
-                total = np.bincount(doc, weights=w[at], minlength=j - i) + w[-1]
-                yield batch.iloc[i:j].assign(**{name: 1 / (1 + np.exp(-np.clip(total, -35, 35)))})
 
-    return docs.mapInPandas(run, docs.drop(name).withColumn(name, F.lit(0.0)).schema)
+        def run(texts: list[str | None]) -> list[np.ndarray]:
+            doc, at = features([t or "" for t in texts], bits)
+            total = np.bincount(doc, weights=w[at], minlength=len(texts)) + w[-1]
+            return [1 / (1 + np.exp(-np.clip(total, -35, 35)))]
+
+        return run
+
+    return with_made(docs, f"`{name}` double", ["text"], start, "text", TEXT)
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -132,7 +137,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("doc_id is not null")
     weights = staged(fit(docs, table(spark, sf_dir, "labels")), "toxicity-weights")
     scored = score(docs, weights)
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

@@ -39,6 +39,22 @@ def test_random(spark, trial):
     check(spark, [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(40)))) for i in range(40)], 7, 3)
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_repeated_rows_keep_their_words_alike(spark, docs_rows, partitions):
+    rows = [r[:2] for r in docs_rows[:-1]]
+    df = spark.createDataFrame(rows + rows, "doc_id long, text string").repartition(partitions)
+    want = brute(rows, 20)
+    got = [(r.doc_id, (r.n_words, r.n_removed, r.kept)) for r in remove_repeats(df).collect()]
+    assert len(got) == 2 * len(rows) and all(want[i] == x for i, x in got)
+
+
+def test_an_anchor_of_a_third_of_all_rows(spark):
+    """One phrase with other words around it in every third document, and one line that is the same in all of them."""
+    phrase, line = " ".join(f"p{i}" for i in range(9)), " ".join(f"q{i}" for i in range(25))
+    other = lambda i, n: " ".join(f"d{i}x{k}" for k in range(n))
+    check(spark, [(i, f"{other(i, 15)} {phrase if i % 3 else line} {other(i + 1000, 15)}") for i in range(300)])
+
+
 def test_empty_table(no_docs):
     assert remove_repeats(no_docs).count() == 0
 
