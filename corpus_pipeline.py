@@ -15,39 +15,47 @@ from gleanwork.llm.packing import byte_bpe, pack
 from gleanwork.llm.secret_scan import redact
 from gleanwork.llm.toxicity import reject
 
-#: Up to so many ids (8 bytes each) are broadcast.
+#: Up to so many ids with the hash of their text (16 bytes) are broadcast.
 BROADCAST_IDS = 500_000
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under the threshold."""
-    return reject(docs, table(spark, sf_dir, "labels"))
+    """Documents whose toxicity score is under the threshold. Rows without a doc_id go in every stage."""
+    return reject(_named(docs), table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id; one row for each doc_id.
+    """Of each component of near copies the document with the smallest doc_id, once.
 
-    The ids that go are broadcast if they are few, which is checked; texts are then not shuffled.
-    Rows without a doc_id stay.
+    Of rows with the same doc_id and text any one stays. If a doc_id has several texts, the one with the
+    smallest hash takes part, and the others stay. What goes is broadcast if it is little,
+    which is checked; texts are then not shuffled.
     """
+    docs, version = _named(docs), F.xxhash64(F.coalesce("text", F.lit("")))
     found = staged(near_duplicates(docs), "near-copies")
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    firsts = found.groupBy("doc_id").agg(F.min("version").alias("first"), F.max("version").alias("last"), F.count("*").alias("n"))
+    if not firsts.where("first != last").isEmpty():
+        own = docs.join(firsts.select("doc_id", "first"), "doc_id").where(version == F.col("first"))
+        found = staged(near_duplicates(own.select("doc_id", "text")), "near-copies")
+    gone = found.where("doc_id != component_id").select("doc_id", "version").distinct()
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    kept = docs.join(F.broadcast(gone) if few else gone, (docs["doc_id"] == gone["doc_id"]) & (version == gone["version"]), "left_anti")
+    return kept if firsts.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with secrets replaced by their kind in brackets; n_chars follows the text."""
-    clean = redact(docs)
+    clean = redact(_named(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix has it."""
-    return mix(docs, F.array("source"))
+    return mix(_named(docs), F.array("source"))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +70,7 @@ STAGES = [
     ("source mixing", mix_sources),
     ("packing", pack_windows),
 ]
-#: The tokenizer and the classifier have no SQL form; tests hold the stages against brute force.
+#: The tokenizer and the classifier have no SQL form; tests hold the stages and their operators against brute force.
 ORACLE_SQL = None
 
 
