@@ -15,21 +15,26 @@ repeated rows are packed once each; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanwork.functions.batches import lists
 from gleanwork.llm.common import documents, parts_for, table
 
 WINDOW = 2048
 END_ID = 1
 #: Documents a shard, on average.
 SHARD_DOCS = 2000
-#: Entries of a worker's memo of encoded words; beyond it the memo starts again.
-MEMO = 1_200_000
+#: Encoded words that a worker remembers at most twice over: the latest, and those before them that came again.
+MEMO = 250_000
+#: Bytes of text that are encoded at once.
+TEXT = 1_000_000
 
 _memos: dict = {}
 
@@ -39,37 +44,37 @@ class WordEncoder:
 
     The byte-level splitter starts a new unit at a single space or line break between
     two visible characters, so such a text's ids are those of its words in order. A text
-    with any other white space goes to the tokenizer whole.
+    with any other white space goes to the tokenizer whole. When `most` words are
+    remembered they become the old ones, and of these only what comes again is kept.
     """
 
     def __init__(self, path: str, most: int = MEMO):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.memo, self.firsts = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.most, self.memo, self.old = Tokenizer.from_file(path), most, {}, {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def words(text: str) -> list[str] | None:
-        """The words, those after a line break with it in front; None if some white space is not one space or line break."""
+        """The words, the first with \\r in front, those after a line break with it; None if some white space is not one space or line break."""
         gaps, plain = text.count(" ") + text.count("\n"), text.split()
         if gaps != len(plain) - 1 or gaps + sum(map(len, plain)) != len(text):
             return None
-        return text.replace("\n", " \n").split(" ")
+        return ("\r" + text.replace("\n", " \n")).split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.words(t) for t in texts]
-        if len(self.memo) + len(self.firsts) > self.most:
-            self.memo.clear()
-            self.firsts.clear()
-        memo, firsts = self.memo, self.firsts
-        new = list({w for s in split if s for w in s[1:] if w not in memo})
-        memo.update(zip(new, self._encode([w if w[0] == "\n" else " " + w for w in new]), strict=True))
-        new = list({s[0] for s in split if s and s[0] not in firsts})
-        firsts.update(zip(new, self._encode(new), strict=True))
+        if len(self.memo) > self.most:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        need = set().union(*filter(None, split)).difference(memo)
+        memo.update([(w, old[w]) for w in need if w in old])
+        new = list(need.difference(old))
+        memo.update(zip(new, self._encode([w[1:] if w[0] == "\r" else w if w[0] == "\n" else " " + w for w in new]), strict=True))
         whole = iter(self._encode([t for t, s in zip(texts, split, strict=True) if s is None]))
-        return [firsts[s[0]] + b"".join([memo[w] for w in s[1:]]) if s is not None else next(whole) for s in split]
+        return [b"".join([memo[w] for w in s]) if s is not None else next(whole) for s in split]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -83,22 +88,20 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     """(doc_id, start, length, ids_crc32, doc_tokens): each document cut at multiples of the window."""
     end = int(end_id).to_bytes(4, "little")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc = encoder(tokenizer)
-        for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch.iloc[i : i + 500]
-                rows = []
-                for doc, ids in zip(part["doc_id"], enc.encode(part["text"].tolist()), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    rows += [(doc, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return documents(docs).mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+        for _, (docs, texts) in lists(batches, ["doc_id", "text"], "text", TEXT):
+            rows = []
+            for doc, ids in zip(docs, enc.encode(texts), strict=True):
+                ids += end
+                n = len(ids) // 4
+                rows += [(doc, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+
+    return documents(docs).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 class OpenWindows:

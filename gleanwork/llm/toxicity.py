@@ -67,6 +67,7 @@ class Ftrl:
         return np.where(np.abs(z) > self.l1[at], w, 0.0)
 
     def learn(self, at: np.ndarray, label: int) -> None:
+        at = np.append(at.astype(np.int64), len(self.z) - 1)
         w = self.weights(at)
         g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * (TOXIC_WEIGHT if label else 1.0)
         n = self.n[at]
@@ -94,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passes: int
     def train(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.assign(order=[xxhash.xxh3_64_intdigest(str(x).encode()) for x in sample["doc_id"]]).sort_values(["order", "doc_id", "found"])
         model = Ftrl(bits)
-        at = [np.append(np.frombuffer(x, dtype=np.uint32).astype(np.int64), 1 << bits) for x in sample["found"]]
+        at = [np.frombuffer(x, dtype=np.uint32) for x in sample["found"]]
         for _ in range(passes):
             for x, label in zip(at, sample["label"].tolist(), strict=True):
                 model.learn(x, label)

@@ -6,10 +6,36 @@ from pyspark.sql import functions as F
 from gleanwork.llm.mixing import min_cost_flow, mix, mixed, n_words, op10_mix_min_cost_flow, plan, quotas
 
 
-def test_quotas():
-    assert quotas([100, 100, 100], [3, 1, 2], 450, 2) == [200.0, 250 / 3, 500 / 3]
-    assert quotas([0, 10], [3, 1], 15, 2) == [0.0, 15.0]
-    assert quotas([], [], 0, 2) == []
+def test_quotas(spark):
+    def of(sizes, weights, total, most):
+        rows = spark.createDataFrame([(f"s{i}", z, i) for i, z in enumerate(sizes)], "source string, source_size long, place long")
+        return [r.target for r in quotas(rows, weights, total, most).orderBy("place").collect()]
+
+    assert of([100, 100, 100], (3, 1, 2), 450.0, 2) == [200.0, 250 / 3, 500 / 3]
+    assert of([0, 10], (3, 1), 15.0, 2) == [0.0, 15.0]
+    assert of([], (2,), 0.0, 2) == []
+
+
+def test_every_source_of_many(spark):
+    """More sources than the driver should hold as a graph; each is met in closed form, in order of code point."""
+    n = 100_000
+    rows = spark.range(n).select("id", F.to_json(F.array(F.lpad(F.col("id").cast("string"), 7, "0"))).alias("key"), (F.col("id") % 7 + 1).alias("size"))
+    sources, patterns = plan(rows.drop("id"))
+    got = sources.agg(F.count("*"), F.round(F.sum("target") / F.sum("source_size"), 6), F.max(F.col("target") / F.col("source_size"))).first()
+    assert got[0] == n and got[1] == 1.5 and got[2] <= 2
+    assert patterns.where("extra < 0 or copies > 2").count() == 0
+    first = sources.where("source = '0000000'").first().target
+    assert sources.where("source = '0000006'").first().target == min(14.0, first * 1.0) or first == 2.0
+
+
+def test_the_cut_is_near_whatever_the_depth(spark):
+    """One pattern with a third of many documents, cut after several steps, and repeated rows."""
+    rows = spark.range(90_000).select((F.col("id") % 60_000).alias("doc_id"), F.when(F.col("id") % 3 == 0, "[\"a\"]").otherwise(F.concat(F.lit("[\"b"), F.col("id") % 50, F.lit("\"]"))).alias("key"), (F.col("id") % 60_000 % 40).alias("size"))
+    _, patterns = plan(rows)
+    assert patterns.agg(F.max("depth")).first()[0] >= 1
+    got = mixed(rows, patterns).groupBy("key").agg(F.sum(F.col("mix_copies") * F.col("size")).alias("taken"), F.sum("size").alias("size"), F.max("mix_copies").alias("most"))
+    far = got.join(patterns, "key").where(F.abs(F.col("taken") - F.col("copies") * F.col("size") - F.col("extra")) > 80)
+    assert far.count() == 0 and got.agg(F.max("most")).first()[0] <= 2
 
 
 def test_flow_is_cheapest():
