@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of the corpus language that results depend on.
-ENDINGS = r"(?U)(?:까요|나요|가요|ㄹ까요|은가요|는가요|을까요|습니까|ㅂ니까)\b"
-EXPRESSIONS = r"(?:까요|나요|가요|ㄹ까요|은가요|는가요|을까요|습니까|ㅂ니까)"
-HOSPITAL, VET = "병원", "수의사"
-COST = r"비용|가격|얼마"
-QUESTION = r"\?|까요|나요"
+# Patterns of the corpus language that results depend on. (?U) makes \\b, \\d and \\s Unicode, as the counts expect.
+#: Question endings; also what question_marks counts.
+ENDING = r"(?U)(요\?|까\?|나요|ㄹ까요|는지요|습니까|궁금)"
+#: Question expressions, and the form of the evaluation set, which lets a word go on after the ending.
+EXPRESSION = r"(?U)(\?+|[가-힣]+(?:요|까|나요|까요|지요|습니까|합니까|가요)\b|어떻게|무엇|언제|어디|얼마나|원인|이유)"
+EXPRESSION_LOOSE = r"(\?+|[가-힣]+(?:요|까|나요|까요|지요|습니까|합니까|가요)|어떻게|무엇|언제|어디|얼마나|원인|이유)"
+#: Signs of a change of subject.
+SHIFT = r"(?U)(\n+|- |\*\s*|\d+\.\s*|그리고|또한|추가로|이외에도|아울러)"
+#: Formal wordings that a colloquial question should not have.
+FORMAL = r"(문의드립니다|여쭤보고자|궁금합니다|알고 싶습니다|말씀드립니다|관찰되는데|하고자 합니다|드리고자|바랍니다)"
+#: What answers mention, and what makes an input a question.
+HOSPITAL, VET = "동물병원", "수의사"
+COST = r"(?U)(비용|가격|원대|만원|\d+\s*원)"
+QUESTION = r"(\?|까요|나요|는지|습니까|궁금)"
 
 _BLANK = r"\s\x{1C}-\x{1F}"
 
@@ -72,15 +80,19 @@ def embed_field(content: Column, payload: Column, choice: str, separator: str =
     return content if choice == "content" else F.concat_ws(separator, content, payload)
 
 
-def tokens(c: Column, kind: str = "words") -> Column:
-    """White-space words of the lower-cased text, or its pairs of neighbouring characters."""
+def tokens(c: Column, kind: str | Callable[[Column], Column] = "words") -> Column:
+    """White-space words of the lower-cased text, its pairs of neighbouring characters, or what a tokenizer of one's own makes of the text.
+
+    A tokenizer is any function of a column, such as a pandas UDF around a morphological analyzer.
+    """
+    if callable(kind):
+        return kind(c)
     low = F.lower(c)
     if kind == "words":
         return F.filter(F.split(low, r"\s+"), lambda t: t != "")
     if kind == "bigrams":
         plain = F.regexp_replace(low, r"\s+", "")
-        n = F.length(plain)
-        return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(plain, i, 2)))
+        return F.regexp_extract_all(plain, F.lit("(?s)(?=(..))"), F.lit(1))
     raise ValueError(f"unknown kind {kind!r}")
 
 

@@ -41,6 +41,27 @@ def paired(ranks: DataFrame, base: DataFrame) -> DataFrame:
     return both.groupBy("base_arm", "arm").agg(F.count("*").alias("n"), F.round(F.avg(1 / a - 1 / b), 9).alias("delta_mrr"), count(a < b).alias("win"), count(a > b).alias("lose"), count(a == b).alias("tie"))
 
 
+def common_or_fail(ranks: DataFrame, base: DataFrame) -> DataFrame:
+    """paired(), but an arm that shares no query with its base is an error: the two were asked other queries."""
+    out = paired(ranks, base)
+    missing = ranks.select("arm").distinct().join(base.where("arm != base_arm").select("arm").distinct(), "arm", "left_semi").join(out, "arm", "left_anti")
+    names = [r.arm for r in missing.limit(20).collect()]
+    if names:
+        raise ValueError(f"no common queries with the base: {sorted(names)}")
+    return out
+
+
+def explored(compared: DataFrame, group: bool | None = None, department: str | None = None, show: str | None = None, missed: int = 5) -> DataFrame:
+    """Queries of the rank explorer: compared (department, orig_is_multi, base, cmp), both ranks known.
+
+    group: compound (True) or single (False) ones; show: 'worse', 'better' or 'miss' (cmp over `missed`).
+    """
+    shown = {None: F.lit(True), "worse": F.col("cmp") > F.col("base"), "better": F.col("cmp") < F.col("base"), "miss": F.col("cmp") > missed}
+    out = compared.where(F.col("base").isNotNull() & F.col("cmp").isNotNull() & shown[show])
+    out = out if group is None else out.where(F.col("orig_is_multi") == group)
+    return out if department is None else out.where(F.col("department") == department)
+
+
 def verdict(lo: Column, hi: Column) -> Column:
     return F.when((lo <= 0) & (hi >= 0), "no difference").when(lo > 0, "other better").otherwise("base better")
 

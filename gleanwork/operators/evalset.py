@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanwork.functions.text import strip
+
 
 def leak_free(valid: DataFrame, train: DataFrame, c: str = "content", leaked: bool = False) -> DataFrame:
     """Rows of valid whose content train lacks (leaked: has). Texts are dealt by their hash and compared where hashes meet."""
@@ -30,6 +34,22 @@ def stratified(rows: DataFrame, stratum: str, size: int, seed: int, key: str = "
     return kept.drop("_o", "_n", "k").orderBy(key).limit(size)
 
 
+def answered(turns: DataFrame, conversation: str, turn: str, role: str, text: str, least: int) -> DataFrame:
+    """(conversation, content, payload): a user's turn and the assistant's next one, if that has `least` characters."""
+    w = Window.partitionBy(conversation).orderBy(turn)
+    rows = turns.select(conversation, role, F.col(text).alias("content"), F.lead(text).over(w).alias("payload"), F.lead(role).over(w).alias("_next"))
+    return rows.where((F.col(role) == "user") & (F.col("_next") == "assistant") & (F.length("payload") >= least)).select(conversation, "content", "payload")
+
+
+def generated_questions(chunks: DataFrame, generator: Callable[[Column], Column], text: str = "content", most: int = 5) -> DataFrame:
+    """chunks with a row for each of at most `most` generated questions, without repeats inside a chunk.
+
+    generator makes an array<string> of a column (a pandas UDF around a model, or an expression); blank questions go.
+    """
+    asked = F.slice(F.array_distinct(F.filter(F.transform(generator(F.col(text)), strip), lambda q: q != "")), 1, most)
+    return chunks.select(*chunks.columns, F.posexplode(asked).alias("question_index", "question"))
+
+
 def remaining(items: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Items that are not done yet."""
     return items.join(done.select(*keys).distinct(), keys, "left_anti")

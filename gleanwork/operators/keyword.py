@@ -30,7 +30,8 @@ def bm25(queries: DataFrame, docs: DataFrame, query_tokens: Column, doc_tokens:
     sized = docs.select("id", doc_tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
     whole = sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("mean"))
     found = sized.select("id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    # It reads tf, so that Spark reuses the shuffle of the postings for both.
+    df = found.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
     weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     scored = found.join(df, "term").crossJoin(F.broadcast(whole))
     part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))

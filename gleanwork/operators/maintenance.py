@@ -33,3 +33,11 @@ def merged_metrics(old: DataFrame, new: DataFrame, key: str, human: list[str]) -
     is_new = F.coalesce("_new", F.lit(False))
     pick = lambda c: F.coalesce(F.col(c), F.col(f"_o_{c}")) if c in human else F.when(is_new, F.col(c)).otherwise(F.col(f"_o_{c}"))
     return both.select(key, *(pick(c).alias(c) for c in new.columns if c != key))
+
+
+def one_setting(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows, if they have one combination of these columns, null being a value of its own; else an error that names some."""
+    found = [r.asDict() for r in rows.select(*columns).distinct().limit(5).collect()]
+    if len(found) > 1:
+        raise ValueError(f"rows were made with different settings: {found}")
+    return rows

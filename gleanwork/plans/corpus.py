@@ -33,13 +33,15 @@ def skipped_empty(spark, sf):
 @query(f"with {QA} select id, department, dept_from_filename from qa where department is distinct from dept_from_filename")
 def meta_mismatch(spark, sf):
     """On the unstripped departments, which differ by a space in the stand-in."""
-    return X.qa(spark, sf).where(~F.col("department").eqNullSafe(F.col("dept_from_filename"))).select("id", "department", "dept_from_filename")
+    return P.mismatched(X.qa(spark, sf), "department", "dept_from_filename").select("id", "department", "dept_from_filename")
 
 
-@query(f"with {QA} select id, contains(content, 'tion') as has_a, contains(content, 'ing') as has_b, regexp_matches(content, 'ment|lich|ci') as has_c, regexp_matches(content, '[.]$') as ends from kept")
+@query(f"with {QA} select id, contains(content, 'tion') as hospital, contains(content, 'ing') as vet, regexp_matches(content, 'ment|lich|ci') as cost, regexp_matches(content, '[.]$') as question from kept")
 def text_flags(spark, sf):
+    """With patterns that occur in the stand-in."""
     c = F.col("content")
-    return X.kept(spark, sf).select("id", c.contains("tion").alias("has_a"), c.contains("ing").alias("has_b"), c.rlike("ment|lich|ci").alias("has_c"), c.rlike("[.]$").alias("ends"))
+    flags = P.text_flags(c, c, "tion", "ing", "ment|lich|ci", "[.]$")
+    return X.kept(spark, sf).select("id", *(f.alias(n) for n, f in flags.items()))
 
 
 @query(f"with {QA} select id, content_len > 665 as content_512, content_len > 10649 as content_8192, content_len + length(payload) > 665 as both_512, content_len + length(payload) > 10649 as both_8192 from kept")
@@ -48,19 +50,18 @@ def over_limit(spark, sf):
     return X.kept(spark, sf).select("id", P.over_limit(n, 512).alias("content_512"), P.over_limit(n, 8192).alias("content_8192"), P.over_limit(both, 512).alias("both_512"), P.over_limit(both, 8192).alias("both_8192"))
 
 
-#: The stand-in's counterparts of question marks, endings and expressions.
-_MARK, _END, _EXPR = ",", "tion|ment|lich", "ing|eux|ung"
-_COUNTS = f"""counts as (select *, len(regexp_extract_all(content, '{_MARK}')) as marks, len(regexp_extract_all(content, '{_END}')) as endings, len(regexp_extract_all(content, '{_EXPR}')) as expressions from kept)"""
+#: The stand-in's counterparts of endings, expressions and shifts.
+_END, _EXPR, _SHIFT = "tion|ment|lich", "ing|eux|ung", "aber|mais|but"
+_COUNTS = f"""counts as (select *, len(regexp_extract_all(content, '{_END}')) as endings, len(regexp_extract_all(content, '{_EXPR}')) as expressions, len(regexp_extract_all(content, '{_SHIFT}')) as shifts from kept)"""
 
 
 def _rules(spark, sf):
-    rows = X.kept(spark, sf).withColumns({n: T.count(F.col("content"), p) for n, p in (("marks", _MARK), ("endings", _END), ("expressions", _EXPR))})
-    return rows.withColumns(P.compound_rules(F.col("content_len"), F.col("marks"), F.col("endings"), F.col("expressions")))
+    return P.with_compound_rules(X.kept(spark, sf), "content", _END, _EXPR, _SHIFT)
 
 
 _RULE_SQL = {
-    "marks2": "marks >= 2", "endings2": "endings >= 2", "endings3": "endings >= 3", "expressions2": "expressions >= 2",
-    "expressions3": "expressions >= 3", "long400": "content_len >= 400", "long400_or_expressions3": "content_len >= 400 or expressions >= 3",
+    "endings3": "endings >= 3", "endings3_or_2long": "endings >= 3 or (endings = 2 and content_len >= 500)", "expressions3": "expressions >= 3", "expressions5": "expressions >= 5",
+    "shifts1": "shifts >= 1", "long400": "content_len >= 400", "long400_or_expressions3": "content_len >= 400 or expressions >= 3",
 }
 _RULED = f"{QA}, {_COUNTS}, ruled as (select *, {', '.join(f'({c}) as {n}' for n, c in _RULE_SQL.items())} from counts)"
 
@@ -106,10 +107,10 @@ def rule_f1(spark, sf):
     return P.rule_quality(rows, list(_RULE_SQL), "quality")
 
 
-@query(f"with {QA} select id, regexp_matches(lower(content), 'the|und|les') as formal, content = payload as same, content_len > 120 as too_long, payload = '' as no_answer from norm")
+@query(f"with {QA} select id, regexp_matches(content, 'the|und|les') as formal, content = payload as same, content_len > 120 as too_long, payload = '' as no_answer from norm")
 def query_quality(spark, sf):
-    rows = X.norm(spark, sf)
-    return rows.select("id", F.lower("content").rlike("the|und|les").alias("formal"), (F.col("content") == F.col("payload")).alias("same"), (F.col("content_len") > 120).alias("too_long"), (F.col("payload") == "").alias("no_answer"))
+    flags = P.query_quality(F.col("content"), F.col("payload"), F.col("payload"), "the|und|les")
+    return X.norm(spark, sf).select("id", *(f.alias(n) for n, f in flags.items()))
 
 
 @query(f"with {QA}, items as (select 'query' as kind, id, content as text from kept where split = 'Validation' union all select 'doc', id, content from kept) select kind, id, case when kind = 'query' then 'query: ' else 'passage: ' end || text as text from items")
@@ -139,8 +140,8 @@ def constraint_check(spark, sf):
 @query("select conv_id, turn, coalesce(nullif(turn % 12, 0), 3) as top_k from conversations where length(text) between 1 and 1000 and coalesce(nullif(turn % 12, 0), 3) between 1 and 10")
 def request_check(spark, sf):
     """Questions of 1 to 1000 characters with top_k of 1 to 10, 3 where none is given (here: turn mod 12 = 0)."""
-    top = F.coalesce(F.nullif(F.col("turn") % 12, F.lit(0)), F.lit(3)).alias("top_k")
-    return X.table(spark, sf, "conversations").where(F.length("text").between(1, 1000)).select("conv_id", "turn", top).where("top_k between 1 and 10")
+    rows = X.table(spark, sf, "conversations")
+    return P.valid_requests(rows, "text", F.nullif(F.col("turn") % 12, F.lit(0))).select("conv_id", "turn", "top_k")
 
 
 def _splits(spark, sf):
@@ -161,7 +162,7 @@ def leaked(spark, sf):
 @query(f"with {QA} select count(*) as n from (select content from kept where split = 'Validation' intersect select content from kept where split = 'Training')")
 def leak_count(spark, sf):
     valid, train = _splits(spark, sf)
-    return valid.select("content").intersect(train.select("content")).agg(F.count("*").alias("n"))
+    return E.leak_free(valid, train, leaked=True).select("content").distinct().agg(F.count("*").alias("n"))
 
 
 @query(f"with {QA} select kind, id from (select 'query' as kind, id from kept where split = 'Validation' union all select 'doc', id from kept) i where not exists (select 1 from kept k where k.id = i.id and i.kind = 'doc' and k.disease <> 'other')")
@@ -200,8 +201,7 @@ def dept_split_cube(spark, sf):
 
 @query(f"with {QA} select count(*) - count(distinct content) as dup_content, count(*) - count(distinct payload) as dup_payload, count(*) - count(distinct id) as dup_id from kept")
 def dup_counts(spark, sf):
-    n = F.count("*")
-    return X.kept(spark, sf).agg(*((n - F.count_distinct(c)).alias(f"dup_{c}") for c in ("content", "payload", "id")))
+    return P.duplicates(X.kept(spark, sf), ["content", "payload", "id"])
 
 
 @query(f"with {QA} select disease, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as percent from kept group by 1")
@@ -283,11 +283,8 @@ def evalset_summary(spark, sf):
 @query("select user_id, user_text as content, answer as payload from (select conv_id as user_id, turn, role, text as user_text, lead(text) over w as answer, lead(role) over w as next_role from conversations window w as (partition by conv_id order by turn)) where role = 'user' and next_role = 'assistant' and length(answer) >= 40")
 def qa_filter(spark, sf):
     """Question and answer pairs whose answer is long enough."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = X.table(spark, sf, "conversations").withColumns({"answer": F.lead("text").over(w), "next_role": F.lead("role").over(w)})
-    return rows.where("role = 'user' and next_role = 'assistant' and length(answer) >= 40").select(F.col("conv_id").alias("user_id"), F.col("text").alias("content"), F.col("answer").alias("payload"))
+    rows = E.answered(X.table(spark, sf, "conversations"), "conv_id", "turn", "role", "text", 40)
+    return rows.select(F.col("conv_id").alias("user_id"), "content", "payload")
 
 
 @query(f"with {QA} select id, trim(regexp_replace(lower(source || ' ' || disease || '/' || department), '[^a-z0-9]+', '-', 'g'), '-') as slug from kept")

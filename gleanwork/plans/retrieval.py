@@ -188,13 +188,14 @@ def _explorer(spark, sf):
 @query(f"with {_EXPLORE} select gold, department, base, cmp from x where orig_is_multi and cmp > base and cmp > 5")
 def rank_explorer(spark, sf):
     """Compound questions that got worse and are not among the first five."""
-    return _explorer(spark, sf).where("orig_is_multi and cmp > base and cmp > 5").select("gold", "department", "base", "cmp")
+    worse = C.explored(_explorer(spark, sf), True, show="worse")
+    return C.explored(worse, show="miss").select("gold", "department", "base", "cmp")
 
 
 @query(f"with {_EXPLORE} select count(*) filter (where cmp > base) as worse, count(*) filter (where cmp < base) as better, count(*) filter (where cmp = base) as tie from x where not orig_is_multi")
 def rank_explorer_counts(spark, sf):
     n = lambda c: F.sum(F.expr(c).cast("long"))
-    return _explorer(spark, sf).where("not orig_is_multi").agg(n("cmp > base").alias("worse"), n("cmp < base").alias("better"), n("cmp = base").alias("tie"))
+    return C.explored(_explorer(spark, sf), False).agg(n("cmp > base").alias("worse"), n("cmp < base").alias("better"), n("cmp = base").alias("tie"))
 
 
 @query(f"with {_EXPLORE} select gold, base, cmp, cmp - base as change from x order by change desc, gold limit 200")

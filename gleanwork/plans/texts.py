@@ -75,15 +75,8 @@ def decompose(spark, sf):
     return C.decomposed(rows, "flag", pattern="[.] ").select("id", "part", "content")
 
 
-@query(f"with {QA}, i as (select id, content, payload, null::int as chunk_index from kept union all by name select 'c' || doc_id as id, substr(text, 1, 400) as content, substr(text, 1, 400) as payload, 0 as chunk_index from documents where length(text) > 0) select id, content, payload, chunk_index from i")
-def mixed_index(spark, sf):
-    """Q&A rows and the first chunk of each document in one index."""
-    chunks = C.fixed(_documents(spark, sf), 400, 50).where("chunk_index = 0").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), "content", F.col("content").alias("payload"), "chunk_index")
-    return X.kept(spark, sf).select("id", "content", "payload").unionByName(chunks, allowMissingColumns=True)
-
-
 @query(f"with {QA}, st as (select doc_id, text, unnest(range(0, greatest(length(text) - 50, 1), 350)) as st from documents where length(text) > 0), i as (select id, content, payload, null::int as chunk_index from kept union all by name select 'c' || doc_id || '-' || (st // 350) as id, substr(text, st + 1, 400) as content, substr(text, st + 1, 400) as payload, (st // 350)::int as chunk_index from st) select id, content, payload, chunk_index from i")
-def mixed_index_whole(spark, sf):
+def mixed_index(spark, sf):
     """Q&A rows and all chunks of each document in one index."""
     chunk_id = F.concat(F.lit("c"), F.col("doc_id").cast("string"), F.lit("-"), F.col("chunk_index").cast("string"))
     chunks = C.fixed(_documents(spark, sf), 400, 50).select(chunk_id.alias("id"), "content", F.col("content").alias("payload"), "chunk_index")
@@ -110,7 +103,7 @@ def term_stats(spark, sf):
 
 
 _BM25 = f"""with d as (select doc_id as id, {_TOK} as toks from documents), w as (select count(*) as n_docs, avg(len(toks)) as mean from d),
-q as (select distinct item_id as qid, unnest(list_distinct({_TOK}[1:5])) as term from benchmark),
+q as (select distinct item_id as qid, unnest(list_distinct({_TOK})) as term from benchmark),
 t as (select id, len(toks) as dl, unnest(toks) as term from d), f as (select id, dl, term, count(*) as tf from t where term in (select term from q) group by 1, 2, 3),
 c as (select term, count(*) as df from f group by 1),
 s as (select q.qid, f.id, round(sum(ln(1 + (n_docs - df + 0.5::double) / (df + 0.5::double)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / mean))), 9) as score from f join c using (term) join q using (term), w group by 1, 2)
@@ -119,12 +112,6 @@ select qid, id, score, row_number() over (partition by qid order by score desc,
 
 @query(_BM25)
 def bm25_topk(spark, sf):
-    asked = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("asked"))
-    return K.bm25(asked, _bare(spark, sf), F.slice(token_list(F.col("asked")), 1, 5), token_list(F.col("text")))
-
-
-@query(_BM25.replace("[1:5]", ""))
-def bm25_topk_whole(spark, sf):
     """Searches with all words of an item."""
     asked = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("asked"))
     return K.bm25(asked, _bare(spark, sf), token_list(F.col("asked")), token_list(F.col("text")))

@@ -10,24 +10,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanwork.operators.compare import hit, mrr
+from gleanwork.operators.maintenance import one_setting
+
 QA = "meta struct<lifeCycle:string,department:string,disease:string>, qa struct<instruction:string,input:string,output:string>"
 CORPUS = "disease string, title string, author string"
 EMBEDDING = "kind string, id string, embedding array<float>, model_name string, dim int, query_prefix string, passage_prefix string, max_seq_len int"
-METRICS = "schema_version int, experiment_id string, title string, question string, verdict string, arms array<struct<arm_id:string,metrics:struct<`Hit@1`:double,`Hit@5`:double,`Hit@20`:double,MRR:double,n:long>>>"
+_HITS = "struct<`Hit@1`:double,`Hit@5`:double,`Hit@20`:double,MRR:double,n:long>"
+_ARM = (
+    "arm_id:string,label:string,model:string,"
+    "config:struct<dim:int,query_prefix:string,passage_prefix:string,truncate_dim:int,max_seq_len:int,embedded_field:string,reranker:string,top_k_candidates:int,rerank_max_length:int,src_dir:string>,"
+    f"metrics:{_HITS},latency_ms:struct<search_p50:double,rerank_p50:double,e2e_p95:double>,"
+    "`groups`:map<string,struct<n:long,`Hit@5`:double,MRR:double>>,depts:map<string,struct<n:long,`Hit@5`:double>>"
+)
+#: A run's record.
+METRICS = (
+    "schema_version int, experiment_id string, phase string, title string, question string, verdict string, measured_at string, metric string, run_env map<string,string>, "
+    "index struct<file:string,n_docs:long,embedded_field:string>, queries struct<file:string,n:long>, baseline struct<run:string,arm_id:string>, "
+    f"arms array<struct<{_ARM}>>, "
+    "paired_tests array<struct<base:struct<run:string,arm_id:string>,arm_id:string,n:long,delta_mrr:double,ci95:array<double>,win:long,lose:long,tie:long,verdict:string>>"
+)
+#: Fields of a record that people write; a run that is written again keeps them.
+HUMAN_FIELDS = ("title", "question", "verdict")
+#: Settings that all rows of an arm's shards share.
+SETTINGS = ["model_name", "dim", "query_prefix", "passage_prefix", "max_seq_len"]
 #: Archives of Q&A pairs and of source texts begin with these.
 QA_ARCHIVES, CORPUS_ARCHIVES = ("TL_", "VL_"), ("TS_", "VS_")
 
 
-def unzipped(spark: SparkSession, root: str, prefixes: tuple[str, ...]) -> DataFrame:
-    """(archive, member, body): the JSON files inside the zips under root whose names begin so; one task a zip."""
+def unzipped(spark: SparkSession, root: str, prefixes: tuple[str, ...], most: int = 500) -> DataFrame:
+    """(archive, member, body): the JSON files inside the zips under root whose names begin so; one task a zip, `most` members a batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if name.endswith(".json"):
-                            yield pd.DataFrame({"archive": [path], "member": [name], "body": [z.read(name).decode("utf-8-sig")]})
+                    names = [n for n in z.namelist() if n.endswith(".json")]
+                    for i in range(0, len(names), most):
+                        part = names[i : i + most]
+                        yield pd.DataFrame({"archive": path, "member": part, "body": [z.read(n).decode("utf-8-sig") for n in part]})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
     name = F.element_at(F.split("path", "/"), -1)
@@ -76,6 +97,11 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EMBEDDING).parquet(path)
 
 
+def read_arm(spark: SparkSession, path: str) -> DataFrame:
+    """An arm's shards; shards of different settings are an error, since search over them would be wrong without a sign."""
+    return one_setting(read_shards(spark, path), SETTINGS)
+
+
 def write_shards(rows: DataFrame, path: str, rows_per_file: int = 2000) -> None:
     rows.write.mode("append").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
@@ -99,9 +125,44 @@ def write_ranks(wide: DataFrame, path: str) -> None:
 
 
 def read_ranks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).csv(path)
+    """A wide table of ranks: answer_id and department as text, all else as numbers; a blank is null."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(*(F.col(f"`{c}`") if c in ("answer_id", "department") else F.col(f"`{c}`").cast("int").alias(c) for c in rows.columns))
+
+
+def baseline_ranks(spark: SparkSession, root: str, spec: str) -> DataFrame:
+    """(run, arm, gold, rank) of the arm of another run under root, named 'run:arm'."""
+    run, _, arm = spec.partition(":")
+    if not arm:
+        raise ValueError(f"a baseline is named 'run:arm', not {spec!r}")
+    wide = read_ranks(spark, f"{root}/{run}/ranks.csv")
+    return long_ranks(wide, [arm]).select(F.lit(run).alias("run"), "arm", F.col("answer_id").alias("gold"), "rank")
 
 
 def read_runs(spark: SparkSession, pattern: str, version: int = 1) -> DataFrame:
-    """All runs' metrics of one schema version, by id."""
+    """All runs' records of one schema version, by id."""
     return spark.read.schema(METRICS).option("multiLine", True).json(pattern).where(F.col("schema_version") == version).orderBy("experiment_id")
+
+
+def write_runs(runs: DataFrame, old: DataFrame | None, path: str) -> None:
+    """Writes records (columns of METRICS, the missing ones null), one JSON object a line, nulls as nulls.
+
+    What people wrote into the old record of the same experiment stays where it is not empty.
+    """
+    spark = runs.sparkSession
+    rows = spark.createDataFrame([], METRICS).unionByName(runs, allowMissingColumns=True)
+    if old is not None:
+        kept = old.select(F.col("experiment_id"), *(F.nullif(F.col(c), F.lit("")).alias(f"_{c}") for c in HUMAN_FIELDS))
+        rows = rows.join(kept, "experiment_id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in HUMAN_FIELDS}).select(*spark.createDataFrame([], METRICS).columns)
+    rows.write.option("ignoreNullFields", False).json(path)
+
+
+def arm_records(ranks: DataFrame, attributes: tuple[str, str] = ("orig_is_multi", "department")) -> DataFrame:
+    """(arm, record): the metrics, groups and depts of an arm's entry, from ranks (arm, rank, orig_is_multi, department)."""
+    multi, department = attributes
+    hits = ranks.groupBy("arm").agg(F.struct(*(hit(k).alias(f"Hit@{k}") for k in (1, 5, 20)), mrr().alias("MRR"), F.count("*").alias("n")).alias("metrics"))
+    named = ranks.where(F.col(multi).isNotNull()).withColumn("g", F.when(F.col(multi), "multi").otherwise("single"))
+    of = lambda rows, by, *cells: rows.groupBy("arm", by).agg(F.struct(F.count("*").alias("n"), *cells).alias("cell")).groupBy("arm").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(by, "cell")))).alias("m"))
+    groups = of(named, "g", hit(5).alias("Hit@5"), mrr().alias("MRR")).withColumnRenamed("m", "groups")
+    depts = of(ranks, department, hit(5).alias("Hit@5")).withColumnRenamed("m", "depts")
+    return hits.join(groups, "arm", "left").join(depts, "arm", "left").select("arm", F.struct(F.col("arm").alias("arm_id"), "metrics", "groups", "depts").alias("record"))

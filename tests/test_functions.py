@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,11 +18,30 @@ def test_strip(spark):
     assert one(spark, T.strip(F.col("a")), a=None) is None
 
 
-def test_patterns(spark):
-    assert one(spark, T.count(F.col("a"), T.EXPRESSIONS), a="밥을 줘도 되나요? 병원에 갈까요? 얼마인가요") == 3
-    assert one(spark, T.count(F.col("a"), T.ENDINGS), a="갈까요? 되나요요") == 1
-    assert one(spark, F.col("a").rlike(T.COST), a="비용이 궁금해요")
-    assert one(spark, F.length("a"), a="강아지🐕") == 4
+SENTENCES = [
+    "밥을 줘도 되나요? 병원에 갈까요? 얼마인가요", "갈까요? 되나요요", "비용이 3 만원인지 궁금해요", "수술비 30 원대, 동물병원 수의사", "원인은 무엇이고 언제 어디로 가야 하는지요??",
+    "그리고 1. 사료\n\n2.  간식 - 물 * 약\n또한 아울러", "진료를 문의드립니다. 알고 싶습니다 합니까", "괜찮습니까가요 안돼요", "plain text?", "",
+]
+
+
+@pytest.mark.parametrize("name", ["ENDING", "EXPRESSION", "EXPRESSION_LOOSE", "SHIFT", "FORMAL", "COST", "QUESTION"])
+def test_patterns_count_as_python_does(spark, name):
+    pattern = getattr(T, name)
+    rows = spark.createDataFrame(list(enumerate(SENTENCES)), "i int, t string").select("i", T.count(F.col("t"), pattern).alias("n"), F.col("t").rlike(pattern).alias("any"))
+    plain = re.compile(pattern.removeprefix("(?U)"))
+    assert {r.i: (r.n, r.any) for r in rows.collect()} == {i: (len(plain.findall(t)), bool(plain.search(t))) for i, t in enumerate(SENTENCES)}
+
+
+def test_rules_and_flags(spark):
+    text = "밥을 줘도 되나요? 병원에 갈까요? 얼마인가요 그리고 " + "가" * 480
+    got = P.with_compound_rules(spark.createDataFrame([(text,)], "content string")).first()
+    assert (got.endings, got.expressions, got.shifts) == (2, 5, 1)
+    assert got.endings3_or_2long and got.expressions5 and got.shifts1 and got.long400_or_expressions3 and not got.endings3
+    flags = spark.createDataFrame([("동물병원에서 3만원", "되나요")], "a string, q string").select(*(c.alias(n) for n, c in P.text_flags(F.col("a"), F.col("q")).items())).first()
+    assert flags.asDict() == {"hospital": True, "vet": False, "cost": True, "question": True}
+    bad = spark.createDataFrame([(" 궁금합니다 ", "궁금합니다", None)], "q string, o string, a string").select(*(c.alias(n) for n, c in P.query_quality(F.col("q"), F.col("o"), F.col("a")).items())).first()
+    assert bad.asDict() == {"formal": True, "same": True, "too_long": False, "no_answer": True}
+    assert P.normalized(spark.createDataFrame([("되나요 갈까?", "x", None, None, None)], "content string, payload string, department string, life_cycle string, disease string"), "s").first().question_marks == 2
 
 
 def test_clean_generated(spark):

@@ -169,7 +169,7 @@ def test_mixed_index_has_every_character(spark):
     from gleanwork.plans import texts
 
     sf = "/root/testdata/sf0.001"
-    rows = texts.mixed_index_whole(spark, sf).where("chunk_index is not null").collect()
+    rows = texts.mixed_index(spark, sf).where("chunk_index is not null").collect()
     assert len({r.id for r in rows}) == len(rows)
     got = {}
     for r in sorted(rows, key=lambda r: (r.id.split("-")[0], r.chunk_index)):
@@ -196,7 +196,7 @@ def test_bm25_searches_with_all_words(spark, tmp_path):
             for term in set(text.lower().split()) & set(own):
                 df, tf = sum(term in w for w in words.values()), own.count(term)
                 want[q, i] = want.get((q, i), 0) + math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(own) / mean))
-    got = {(r.qid, r.id): r.score for r in texts.bm25_topk_whole(spark, str(tmp_path)).collect()}
+    got = {(r.qid, r.id): r.score for r in texts.bm25_topk(spark, str(tmp_path)).collect()}
     assert got == {k: pytest.approx(v, abs=1e-8) for k, v in want.items()} and (7, 2) in got and (8, 4) in got
 
 
@@ -206,3 +206,27 @@ def test_model_jobs_leave_large_ids_beside_nulls(spark):
     assert {r.id: r.score for r in D.score_pairs(rows, D.overlap_scorer).collect()} == {big: 0.5, None: 0.0}
     assert {r.id: (r.query, r.error) for r in D.rewrite(rows, str.upper, "text").collect()} == {big: ("A C", None), None: (None, "empty")}
     assert {r.id: r.judgement for r in D.judge(rows, lambda q, c: len(q)).collect()} == {big: 3.0, None: 1.0}
+
+
+def test_answered_and_generated(spark):
+    turns = frame(spark, [(1, 1, "user", "q"), (1, 2, "assistant", "long answer"), (1, 3, "user", "r"), (1, 4, "user", "s"), (2, 1, "user", "t"), (2, 2, "assistant", "no")], "c long, turn int, role string, text string")
+    assert [tuple(r) for r in E.answered(turns, "c", "turn", "role", "text", 5).collect()] == [(1, "q", "long answer")]
+    chunks = frame(spark, [(1, "a? b? a?  ?"), (2, "")], "id long, content string")
+    got = E.generated_questions(chunks, lambda c: F.split(c, r"\?")).collect()
+    assert [(r.id, r.question_index, r.question) for r in got] == [(1, 0, "a"), (1, 1, "b")]
+
+
+def test_no_common_queries(spark):
+    ranks = frame(spark, [("x", 1, 2), ("y", 5, 1)], "arm string, gold long, rank int")
+    base = frame(spark, [("x", "b", 1, 3), ("y", "b", 9, 3)], "arm string, base_arm string, gold long, rank int")
+    with pytest.raises(ValueError, match="'y'"):
+        X.common_or_fail(ranks, base)
+    assert X.common_or_fail(ranks.where("arm = 'x'"), base).first().win == 1
+
+
+def test_duplicates_and_requests(spark):
+    rows = frame(spark, [("a", 1), ("a", 2), (None, 2)], "c string, k int")
+    assert P.duplicates(rows, ["c", "k"]).first().asDict() == {"dup_c": 2, "dup_k": 1}
+    asked = frame(spark, [("q", None), ("", 3), ("r", 11), ("x" * 1001, 1)], "question string, k int")
+    assert [(r.question, r.top_k) for r in P.valid_requests(asked, "question", F.col("k")).collect()] == [("q", 3)]
+    assert P.mismatched(rows, "c", "c").count() == 0

@@ -2,6 +2,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanwork.sources import io
 from gleanwork.streaming.ingest import ingest
@@ -49,7 +50,7 @@ def test_ranks(spark, tmp_path):
     io.write_ranks(io.wide_ranks(rows, ["b", "a"]), str(tmp_path / "r"))
     back = io.read_ranks(spark, str(tmp_path / "r"))
     assert back.columns == ["answer_id", "department", "orig_is_multi", "b", "a"]
-    assert sorted(map(tuple, io.long_ranks(back, ["a", "b"]).collect())) == [("1", "a", "2"), ("1", "b", "3"), ("2", "a", "7")]
+    assert sorted(map(tuple, io.long_ranks(back, ["a", "b"]).collect())) == [("1", "a", 2), ("1", "b", 3), ("2", "a", 7)]
     with pytest.raises(ValueError):
         io.long_ranks(back, ["c"])
 
@@ -70,3 +71,38 @@ def test_stream_equals_batch(spark, tmp_path):
     ingest(spark, source, events.schema, target, checkpoint, "event_id")
     ingest(spark, source, events.schema, target, checkpoint, "event_id")
     assert sorted(spark.read.parquet(target).collect()) == sorted(events.collect())
+
+
+def test_a_run_as_baseline(spark, tmp_path):
+    rows = spark.createDataFrame([("q1", "d", 1, 3, None), ("q2", None, 0, None, 2)], "answer_id string, department string, orig_is_multi int, `E-7` int, other int")
+    io.write_ranks(rows, f"{tmp_path}/first/ranks.csv")
+    assert [tuple(r) for r in io.baseline_ranks(spark, str(tmp_path), "first:E-7").collect()] == [("first", "E-7", "q1", 3)]
+    for spec, why in (("first", "run:arm"), ("first:none", "no arm")):
+        with pytest.raises(ValueError, match=why):
+            io.baseline_ranks(spark, str(tmp_path), spec)
+
+
+def test_shards_of_two_settings(spark, tmp_path):
+    rows = spark.createDataFrame([("doc", "1", [1.0], "m", 1, "", "", None)], io.EMBEDDING)
+    io.write_shards(rows, str(tmp_path / "a"))
+    assert io.read_arm(spark, str(tmp_path / "a")).count() == 1
+    io.write_shards(rows.withColumn("max_seq_len", F.lit(0)), str(tmp_path / "a"))
+    with pytest.raises(ValueError, match="different settings"):
+        io.read_arm(spark, str(tmp_path / "a"))
+
+
+def test_run_records(spark, tmp_path):
+    """Nulls stay nulls, people's words survive, and what is written is read again."""
+    ranks = spark.createDataFrame([("a", 1, True, "d"), ("a", 6, False, "d"), ("a", 2, None, "e")], "arm string, rank int, orig_is_multi boolean, department string")
+    arms = io.arm_records(ranks).agg(F.collect_list("record").alias("arms"))
+    paired = "array(struct(struct('r' as run, 'b' as arm_id) as base, 'a' as arm_id, 3L as n, 0.5D as delta_mrr, array(0.1D, 0.9D) as ci95, 1L as win, 1L as lose, 1L as tie, 'v' as verdict))"
+    run = arms.selectExpr("1 as schema_version", "'x' as experiment_id", "'new' as title", "map('gpu', 'none') as run_env", "named_struct('file', 'f', 'n_docs', 3L, 'embedded_field', 'content') as index", f"{paired} as paired_tests", "transform(arms, a -> named_struct('arm_id', a.arm_id, 'label', string(null), 'model', 'm', 'config', null, 'metrics', a.metrics, 'latency_ms', named_struct('search_p50', double(null), 'rerank_p50', double(null), 'e2e_p95', double(null)), 'groups', a.`groups`, 'depts', a.depts)) as arms")
+    run = run.select(F.from_json(F.to_json(F.struct("*")), io.METRICS).alias("r")).select("r.*")
+    old = spark.createDataFrame([("x", "title by hand", "")], "experiment_id string, title string, verdict string").withColumn("question", F.lit("why"))
+    io.write_runs(run, old, f"{tmp_path}/x")
+    got = io.read_runs(spark, f"{tmp_path}/x").first()
+    assert (got.title, got.question, got.verdict, got.phase) == ("title by hand", "why", None, None)
+    arm = got.arms[0]
+    assert arm.metrics["Hit@5"] == pytest.approx(2 / 3) and arm.latency_ms.search_p50 is None
+    assert arm.groups["multi"].n == 1 and arm.groups["single"]["Hit@5"] == 0 and set(arm.depts) == {"d", "e"} and arm.depts["d"].n == 2
+    assert got.paired_tests[0].ci95 == [0.1, 0.9] and got.run_env == {"gpu": "none"}
