@@ -97,17 +97,28 @@ LICENSES = [
     ),
 ]
 
+# Equivalent spellings, as parts of words; the second form stands for both.
+SPELLINGS = {
+    "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authoris": "authoriz", "behaviour": "behavior", "calibre": "caliber", "cancelled": "canceled",
+    "capitalis": "capitaliz", "catalogue": "catalog", "categoris": "categoriz", "centre": "center", "colour": "color", "customis": "customiz", "emphasis": "emphasiz", "favour": "favor",
+    "fulfill": "fulfil", "honour": "honor", "initialis": "initializ", "judgement": "judgment", "labelling": "labeling", "labour": "labor", "licence": "license", "maximis": "maximiz", "minimis": "minimiz",
+    "modelled": "modeled", "modelling": "modeling", "non-commercial": "noncommercial", "non-infringement": "noninfringement", "offence": "offense", "optimis": "optimiz", "organis": "organiz", 
+    "practise": "practice", "programme": "program", "realis": "realiz", "recognis": "recogniz", "signalling": "signaling", "sub-license": "sublicense", "utilis": "utiliz",
+    "whilst": "while", "wilfull": "willful", "wilful": "willful", "https": "http",
+}
+
 #: Rules of the canonical form, in order: (pattern, replacement). The text is lower case; lines end at \n.
 RULES = [
     (r"[\r\t\x0B\f]", " "),
-    # "Copyright notice" and the like are words of a licence, also where a line is broken before them.
-    (r"copyright([^\p{L}\p{N}]+(?:notice|holder|owner|law|licen[cs]e|interest|statement|and|or)s?([^\p{L}\p{N}]|$))", r"copy right\1"),
-    (r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*", r"\1"),
-    (r"licence", "license"),
-    (r"sub-license", "sublicense"),
-    (r"non-infringement", "noninfringement"),
-    (r"https", "http"),
-    (r"[^a-z0-9\n]+", " "),
+    (r"all\s+rights\s+reserved", " "),
+    # Lines that are a copyright notice: the word or sign with a year, a sign or a blank for it. Without, they are words of a licence.
+    (r"(^|\n)[^\p{L}\p{N}\n]*((?:portions |parts |some )?copyright[^\p{L}\p{N}\n]*(?:c\)|©|[0-9]{4}|yyyy|year)|c\)[^\p{L}\p{N}\n]*(?:copyright|[0-9]{4})|©)[^\n]*", r"\1"),
+    *SPELLINGS.items(),
+    (r"copyright\s+owner", "copyright holder"),
+    (r"sub\s+license", "sublicense"),
+    (r"per\s+cent", "percent"),
+    # Letters of every script stay, so that a notice in a text of another language is not the whole text.
+    (r"[^\p{L}\p{N}\n]+", " "),
 ]
 
 
@@ -115,7 +126,7 @@ def canonical_lines(text: Column) -> Column:
     """The canonical text with its line breaks."""
     out = F.lower(text)
     for pattern, by in RULES:
-        plain = re.fullmatch("[a-z-]+", pattern)
+        plain = pattern in SPELLINGS
         out = F.replace(out, F.lit(pattern), F.lit(by)) if plain else F.regexp_replace(out, pattern, by.replace(r"\1", "$1"))
     return out
 

@@ -5,7 +5,8 @@ and its mode. The content is normalised only as far as the tokenizer itself is b
 it; for a vocabulary that keeps case and white space that is null -> empty. Keys
 are reduced to distinct ones map side, so a text that a third of all rows share moves
 once per map task; keys that the cache has are dropped, the rest is encoded and appended.
-Counts then come from one join on the key.
+Counts then come from a join on the key: those of texts that more than 1 / HOT of all rows share, at most
+HOT of them, are broadcast, all others are dealt by key.
 
 Edge cases: null and empty texts have 0 bytes and 0 tokens; repeated rows each get a row;
 an empty table gives no rows; other columns are ignored; very long texts are encoded whole.
@@ -21,13 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm.common import documents, stage_path, table
+from gleanwork.llm.common import documents, stage_path, staged, table
 
 LIMIT = 4096
 CACHE = "digest binary, version string, n_tokens long"
 #: Entries of a worker's memo of counted words; beyond it the memo starts again.
 MEMO = 500_000
 
+#: A text with more than this share of all rows is hot.
+HOT = 10_000
+
 _counters: dict = {}
 
 
@@ -84,8 +88,13 @@ def token_counts(docs: DataFrame, model: str, cache: str, limit: int = LIMIT) ->
 
     missing.mapInPandas(encode, CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = staged(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "keys")
+    hot = rows.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > rows.count() / HOT).select("digest")
+    hot = staged(counts.join(hot, "digest", "left_semi"), "hot-counts")
+    first = rows.join(F.broadcast(hot), "digest", "left")
+    rest = first.where("n_tokens is null").drop("n_tokens").join(counts, "digest")
+    out = first.where("n_tokens is not null").unionByName(rest)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,13 +10,14 @@ current k-th score of all shards: first every shard opens just the leaf with the
 upper bound for each query, and the k-th best score over all shards becomes the query's floor;
 then each shard opens nodes in the order of the bound, centre . q + radius |q|, until the
 bound is under the floor or the shard's own k-th score. A node at the bound is still
-opened, since ties go to the smaller id.
+opened, since ties go to the smaller id. Scores are exact: where lengths of vectors allow
+products that doubles cannot hold (EXACT), they are summed up as Python's integers.
 
 Edge cases: vectors that are null, empty, or hold a null or non-finite component take no
 part, as query or as candidate; vectors of other widths are compared with those of their own
 width only; fewer than k candidates give fewer rows; rows that repeat a vec_id with
 another vector are candidates like any other, but a query never meets its own vec_id; equal
-rows count once; an empty table gives no rows; other columns are ignored.
+rows count once; a component or a score beyond the range of a long is the end of that range; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ EVERY = 50
 SHARD, LEAF, BLOCK = 4096, 256, 2048
 
 
+#: Up to here sums of products of whole numbers are exact in doubles.
+EXACT = 2.0**52
+
+
 class Ball:
     """Nodes of a ball tree over the rows of x: boxes of an index range, with centre and radius."""
 
@@ -82,11 +87,17 @@ def _search(shard: pd.DataFrame, k: int, first_leaf: bool) -> pd.DataFrame:
     x = np.array(points["v"].tolist(), dtype=np.float64)
     q = np.array(queries["v"].tolist(), dtype=np.float64)
     tree = Ball(x)
-    bounds = q @ tree.centres.T + np.sqrt((q**2).sum(axis=1))[:, None] * tree.radii
+    lengths = np.sqrt((q**2).sum(axis=1))
+    bounds = q @ tree.centres.T + lengths[:, None] * tree.radii
+    wide = lengths.max() * np.sqrt((x**2).sum(axis=1).max()) >= EXACT
+    if wide:
+        exact = [np.array([list(map(int, v)) for v in rows["v"]], dtype=object) for rows in (points, queries)]
+        # What doubles may be off by.
+        bounds = bounds + 1e-9 * lengths[:, None] * np.sqrt((x**2).sum(axis=1).max())
     out = []
     for row, (own, floor) in enumerate(zip(queries["query_id"].astype("int64"), queries["floor"], strict=True)):
         bound, best = bounds[row], []
-        least = -np.inf if np.isnan(floor) else float(floor)
+        least = -np.inf if np.isnan(floor) else float(floor) - (1e-9 * abs(float(floor)) if wide else 0)
         if first_leaf:
             heap = [(0.0, int(np.where(tree.leaf, bound, -np.inf).argmax()))]
         else:
@@ -101,7 +112,7 @@ def _search(shard: pd.DataFrame, k: int, first_leaf: bool) -> pd.DataFrame:
                     heapq.heappush(heap, (-bound[child], child))
                 continue
             at = tree.order[begin:end]
-            scores = x[at] @ q[row]
+            scores = np.clip(exact[0][at] @ exact[1][row], -(1 << 63), (1 << 63) - 1) if wide else x[at] @ q[row]
             need = max(least, best[0][0] if len(best) == k else -np.inf)
             for j in np.flatnonzero(scores >= need):
                 for vec in ids[at[j]]:

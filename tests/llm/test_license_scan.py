@@ -73,4 +73,36 @@ def test_copyright_lines_behind_marks(spark):
     assert {r[0]: r[2] for r in con.execute(L.ORACLE).fetchall()} == got
     # A line of words before the sign is no copyright line.
     left = [r.x for r in spark.createDataFrame([("see © 2020\n© y",), ("été © x",)], "t string").select(L.canonical_lines(L.F.col("t")).alias("x")).collect()]
-    assert [x.split() for x in left] == [["see", "2020"], ["t", "x"]]
+    assert [x.split() for x in left] == [["see", "2020"], ["été", "x"]]
+
+
+def test_other_scripts_are_words(spark):
+    rows = [(1, "이 문서는 개에 관한 글이다.\nReleased under the MIT License."), (2, "Текст о собаках\nReleased under the MIT License."), (3, "안녕하세요"), (4, "Привет")]
+    got = {r.doc_id: (r.license, r.line_licenses) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string"), L.known_licenses(spark)).collect()}
+    assert got == {1: (None, "MIT"), 2: (None, "MIT"), 3: (None, ""), 4: (None, "")}
+
+
+def test_every_whole_text_in_other_clothes(spark):
+    """Each known text with its paragraphs broken anew, in capitals, with other spellings and other copyright lines."""
+    import textwrap
+
+    def broken(text, width):
+        out = []
+        for part in text.split("\n\n"):
+            head = any(x.strip().lower().startswith(("copyright (", "copyright ©", "portions copyright")) for x in part.split("\n"))
+            out.append(part if head else textwrap.fill(" ".join(part.split()), width, break_long_words=False, break_on_hyphens=False))
+        return "\n\n".join(out)
+
+    texts = [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(L.__file__).parent / "licenses").glob("*.txt"))]
+    mit = L.LICENSES[-1][1]
+    texts.append(("MIT", mit))
+    rows, want = [], {}
+    for name, text in texts:
+        forms = [text.upper(), broken(text, 61), broken(text, 97), text.replace("license", "licence").replace("authoriz", "authoris"), "Portions Copyright (c) 2001 Somebody\n" + text, "# (c) 2019-2020, The Holders\n" + text]
+        for t in forms:
+            want[len(rows)] = name
+            rows.append((len(rows), t))
+    rows.append((len(rows), mit.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS OR\nCOPYRIGHT HOLDERS")))
+    want[len(rows) - 1] = "MIT"
+    got = {r.doc_id: r.license for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string"), L.known_licenses(spark)).collect()}
+    assert {i: (n, got[i]) for i, n in want.items() if got[i] != n} == {}

@@ -6,10 +6,10 @@ from gleanwork.llm.topk_search import Ball, op6_exact_topk, top_k
 def brute(rows, k, every):
     out = []
     v = [(i, tuple(int(np.floor(256 * float(x))) for x in e)) for i, e in rows if i is not None and e and all(x is not None and np.isfinite(x) for x in e)]
-    v = sorted(set(v))
+    v = [(i, tuple(max(-(1 << 63), min((1 << 63) - 1, c)) for c in e)) for i, e in sorted(set(v))]
     for q, a in v:
         if q % every == 0:
-            best = sorted(((-int(np.dot(a, b)), i) for i, b in v if i != q and len(b) == len(a)))[:k]
+            best = sorted(((-max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, b, strict=True)))), i) for i, b in v if i != q and len(b) == len(a)))[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -28,6 +28,14 @@ def test_ties_nulls_and_a_hot_vector(spark):
     check(spark, [(i, [float(i % 3), 0.0]) for i in range(120)])
 
 
+def test_large_components_are_exact(spark):
+    """Scores over 2^53 and beyond a long; a long ends at its range."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8) * 1e5]) for i in range(120)]
+    check(spark, rows)
+    check(spark, rows + [(200, [3e8] * 8), (201, [-3e8] * 8), (210, [1e30, -1e30] + [0.0] * 6), (211, [3e8] * 7 + [1.0])])
+
+
 def test_few_and_none(spark):
     check(spark, [(0, [1.0, 0.5]), (10, [0.5, 1.0]), (3, [0.25, 0.0])])
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
