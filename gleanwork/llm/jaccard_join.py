@@ -46,7 +46,7 @@ SHINGLE = 5
 #: Links need 100 * overlap >= PERCENT * union.
 PERCENT = 75
 #: Bytes of text whose words are held at once; bytes of text behind a block, and behind a bucket of tokens.
-TEXT, BLOCK, BUCKET = 500_000, 16_000_000, 16_000_000
+TEXT, BLOCK, BUCKET = 500_000, 8_000_000, 12_000_000
 TOKEN_BITS = 44
 
 DEALT = "bucket int, block long, payload binary, owners binary"
@@ -141,11 +141,19 @@ def _count(dealt: pd.DataFrame, width: int) -> pd.DataFrame:
         return dealt[["bucket", "block", "payload", "owners"]].assign(grades=None)
     tokens = [_wide(x, width) for x in dealt["payload"]]
     flat = np.concatenate(tokens)
-    order = np.argsort(flat)
-    s = flat[order]
+    if width <= 5 and len(flat) < 1 << 24:  # token and place fit one number, which sorts in place
+        s = flat << U64(24) | np.arange(len(flat), dtype=U64)
+        s.sort()
+        order = (s & U64((1 << 24) - 1)).astype(np.int32)
+        s >>= U64(24)
+    else:
+        order = np.argsort(flat)
+        s = flat[order]
+    size = len(flat)
+    del flat
     begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    each = np.diff(np.append(begin, len(s)))
-    counts = np.empty(len(flat), dtype=np.int32)
+    each = np.diff(np.append(begin, size))
+    counts = np.empty(size, dtype=np.int32)
     counts[order] = np.repeat(each, each)
     rows, at = [], 0
     for block, own, owners in zip(dealt["block"], tokens, dealt["owners"], strict=True):
