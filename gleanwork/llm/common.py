@@ -24,9 +24,11 @@ BASE_A, BASE_B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one in local mode (tests), else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
