@@ -39,25 +39,28 @@ def _open(lists: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return staged(named.join(keys, "key"), name)
 
 
-def links_of_lists(lists: DataFrame, verified, name: str) -> DataFrame:
-    """Links (a, b) that connect what all linked pairs of any list would connect.
+def links_of_lists(lists: DataFrame, verified, name: str, shared: int = 1) -> DataFrame:
+    """Links (a, b) that connect what all linked pairs with `shared` lists in common would connect.
 
     lists has (key, node), each row once; verified(pairs) keeps the linked ones of pairs (a, b).
-    First every node is tested against one other only, the smallest that heads a list of
-    its own; then, in lists still of several components, every node against its list's
-    head; what is then in different components is tested pair by pair. So no list is cut,
-    and a group of copies costs about a pair for each of its nodes, however many lists they share.
+    First every node is tested against one other only: of the heads (smallest nodes) of its lists
+    the smallest that it has `shared` lists in common with. Then, in lists still of several components, every
+    node against its list's head; what is then in different components is tested pair by pair.
+    So no list is cut, and a group of copies costs about a pair for each of its nodes, however many
+    lists they share. Pairs tested early share `shared` lists under one head; the last step sees all others.
     """
+    enough = F.count("*") >= shared
     heads = lists.groupBy("key").agg(F.min("node").alias("a"))
-    one = lists.join(heads, "key").where("node != a").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    links = staged(verified(one), name)
+    met = lists.join(heads, "key").where("node != a").groupBy("a", F.col("node").alias("b")).agg(enough.alias("enough")).where("enough")
+    links = staged(verified(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), name)
 
     rest = _open(lists, links, name)
     heads = rest.groupBy("key").agg(F.min(F.struct("root", "node")).alias("head"))
-    star = rest.join(heads, "key").where("root != head.root").select(F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b")).distinct()
-    star = staged(star, name)
+    star = rest.join(heads, "key").where("root != head.root").groupBy(F.least("head.node", "node").alias("a"), F.greatest("head.node", "node").alias("b"))
+    star = staged(star.agg(enough.alias("enough")).where("enough").select("a", "b"), name)
     links = links.unionByName(staged(verified(star), name))
 
     rest = _open(rest, links, name)
-    pairs = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.root != y.root")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.root != y.root")).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = pairs.agg(enough.alias("enough")).where("enough").select("a", "b")
     return links.unionByName(verified(pairs.join(star, ["a", "b"], "left_anti")))
