@@ -42,13 +42,14 @@ def paired(ranks: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def common_or_fail(ranks: DataFrame, base: DataFrame) -> DataFrame:
-    """paired(), but an arm that shares no query with its base is an error: the two were asked other queries."""
-    out = paired(ranks, base)
-    missing = ranks.select("arm").distinct().join(base.where("arm != base_arm").select("arm").distinct(), "arm", "left_semi").join(out, "arm", "left_anti")
-    names = [r.arm for r in missing.limit(20).collect()]
-    if names:
-        raise ValueError(f"no common queries with the base: {sorted(names)}")
-    return out
+    """paired(), but an arm that shares no query with its base is an error: the two were asked other queries.
+
+    The arms that must be there are joined to the comparison, which is made once; an arm without one raises when it is read.
+    """
+    due = ranks.select("arm").distinct().join(base.where("arm != base_arm").select("arm", "base_arm").distinct(), "arm")
+    out = due.join(paired(ranks, base), ["base_arm", "arm"], "left")
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no common queries with the base:"), F.concat(F.lit("'"), "arm", F.lit("'")), F.lit("against"), "base_arm"))
+    return out.withColumn("n", F.when(F.col("n").isNull(), missing.cast("long")).otherwise(F.col("n")))
 
 
 def explored(compared: DataFrame, group: bool | None = None, department: str | None = None, show: str | None = None, missed: int = 5) -> DataFrame:
@@ -86,19 +87,48 @@ def bootstrap(pairs: DataFrame, resamples: int = 2000, seed: int = 42) -> DataFr
     return out.withColumn("verdict", verdict(F.col("lo"), F.col("hi")))
 
 
-def hash_bootstrap(pairs: DataFrame, resamples: int) -> DataFrame:
+#: Queries of a comparison that one seeded generator draws from, a task a comparison; beyond them use bootstrap().
+EXACT_MOST = 5_000_000
+#: Draws that are held at once.
+DRAWN = 4_000_000
+
+
+def bootstrap_exact(pairs: DataFrame, resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """bootstrap() by plain index resampling in the order of gold, with a generator of this seed for each comparison.
+
+    pairs (base_arm, arm, gold, rank, base_rank), each gold once a comparison. It gives the digits that
+    numpy's default_rng(seed).integers(0, n, (resamples, n)) gives, but in blocks of resamples. The stream of draws is
+    sequential, so a comparison is one task that holds a number a query; more than EXACT_MOST queries are an error.
+    """
+    sized = pairs.where("rank is not null and base_rank is not null").select("base_arm", "arm", "gold", (1 / F.col("rank") - 1 / F.col("base_rank")).alias("d"))
+    many = [tuple(r) for r in sized.groupBy("base_arm", "arm").agg(F.count("*").alias("n")).where(F.col("n") > EXACT_MOST).limit(5).collect()]
+    if many:
+        raise ValueError(f"too many queries for one generator, use bootstrap(): {many}")
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        d = rows.sort_values("gold", kind="stable")["d"].to_numpy(dtype=np.float64)
+        rng, each, means = np.random.default_rng(seed), max(1, DRAWN // len(d)), []
+        for at in range(0, resamples, each):
+            means.append(d[rng.integers(0, len(d), size=(min(each, resamples - at), len(d)))].mean(axis=1))
+        lo, hi = np.percentile(np.concatenate(means), [2.5, 97.5])
+        return pd.DataFrame({"base_arm": [rows["base_arm"].iloc[0]], "arm": [rows["arm"].iloc[0]], "n": [len(d)], "delta_mrr": [d.mean()], "lo": [lo], "hi": [hi]})
+
+    out = sized.groupBy("base_arm", "arm").applyInPandas(draw, "base_arm string, arm string, n long, delta_mrr double, lo double, hi double")
+    return out.withColumn("verdict", verdict(F.col("lo"), F.col("hi")))
+
+
+def hash_bootstrap(pairs: DataFrame, resamples: int = 2000) -> DataFrame:
     """bootstrap() with draws that SQL can repeat: query j of resample r is the one at md5(r:j) mod n in the order of gold.
 
-    pairs (base_arm, arm, gold, rank, base_rank); grows with resamples * n rows.
+    pairs (base_arm, arm, gold, rank, base_rank). A comparison's differences are one array, and a resample is one
+    row that sums them up; nothing is joined, and no row is made for a draw.
     """
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("base_arm", "arm")
-    rows = pairs.select("base_arm", "arm", (F.row_number().over(by.orderBy("gold")) - 1).alias("at"), (1 / F.col("rank") - 1 / F.col("base_rank")).alias("d"))
-    n = rows.groupBy("base_arm", "arm").agg(F.count("*").alias("n"))
-    draws = n.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    at = F.conv(F.substring(F.md5(F.concat_ws(":", "r", "j").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n")
-    means = draws.withColumn("at", at.cast("int")).join(rows, ["base_arm", "arm", "at"]).groupBy("base_arm", "arm", "r").agg(F.avg("d").alias("m"))
+    row = F.struct("gold", (1 / F.col("rank") - 1 / F.col("base_rank")).alias("d"))
+    arrays = pairs.groupBy("base_arm", "arm").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["d"]).alias("d"))
+    draws = arrays.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition("base_arm", "arm", "r")
+    at = lambda j: (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("r"), j).cast("binary")), 1, 8), 16, 10).cast("long") % F.size("d")).cast("int")
+    mean = F.aggregate(F.sequence(F.lit(0), F.size("d") - 1), F.lit(0.0), lambda s, j: s + F.get("d", at(j))) / F.size("d")
+    means = draws.select("base_arm", "arm", mean.alias("m"))
     edge = lambda p: F.round(F.percentile("m", F.lit(p)), 9)
     out = means.groupBy("base_arm", "arm").agg(edge(0.025).alias("lo"), edge(0.975).alias("hi"))
     return out.withColumn("verdict", verdict(F.col("lo"), F.col("hi")))

@@ -27,11 +27,11 @@ def high_water(rows: DataFrame, source: str, time: str) -> DataFrame:
 
 
 def merged_metrics(old: DataFrame, new: DataFrame, key: str, human: list[str]) -> DataFrame:
-    """new rows, where the fields that people fill in come from the old row if the new one has none; old runs stay."""
+    """new rows, but what people wrote into the old row's `human` fields stays, unless it is null or empty; old runs stay."""
     kept = old.select(key, *(F.col(c).alias(f"_o_{c}") for c in old.columns if c != key))
     both = new.withColumn("_new", F.lit(True)).join(kept, key, "full_outer")
     is_new = F.coalesce("_new", F.lit(False))
-    pick = lambda c: F.coalesce(F.col(c), F.col(f"_o_{c}")) if c in human else F.when(is_new, F.col(c)).otherwise(F.col(f"_o_{c}"))
+    pick = lambda c: F.coalesce(F.nullif(F.col(f"_o_{c}"), F.lit("")), F.col(c)) if c in human else F.when(is_new, F.col(c)).otherwise(F.col(f"_o_{c}"))
     return both.select(key, *(pick(c).alias(c) for c in new.columns if c != key))
 
 

@@ -82,13 +82,13 @@ def overlap_scorer(queries: Sequence[str], texts: Sequence[str]) -> list[float]:
 
 
 def rewrite(rows: DataFrame, rewriter: Callable[[str], str], text: str = "content") -> DataFrame:
-    """rows with query and error; a failure is kept with its message, not raised."""
+    """rows with query and error; a failure is kept with its type, not raised."""
 
     def one(t: str) -> tuple[str | None, str | None]:
         try:
             q = rewriter(t)
         except Exception as e:  # the model's failure is data here
-            return None, f"API: {e}"
+            return None, f"API: {type(e).__name__}"
         return (q, None) if q and q.strip() else (None, "empty")
 
     def run(texts: list[str | None]) -> tuple[Sequence, ...]:

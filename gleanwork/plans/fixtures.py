@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions.vectors import doubles, truncated, unit
 from gleanwork.operators.profile import full_rows, normalized
-from gleanwork.operators.ranking import known_item_ranks, twin_pairs
+from gleanwork.operators.ranking import gold_texts, known_item_ranks
 
 DIMS = [64, 32, 16]
 #: Offsets and weights of the vectors that a query is made of.
@@ -55,10 +55,10 @@ def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """docs (id, v) and queries (qid, gold, v, label)."""
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), doubles(F.col("embedding")).alias("v"), "label")
     n = rows.count()
-    out = rows.where(F.col("id") % 9 == 0).select(F.col("id").alias("qid"), "label")
-    for i, (off, _) in enumerate(PARTS):
-        part = rows.select(F.col("id").alias(f"i{i}"), F.col("v").alias(f"v{i}"))
-        out = out.join(part, (F.col("qid") + off) % n == F.col(f"i{i}")).drop(f"i{i}")
+    # A vector is a part of the queries that lie at the offsets before it.
+    of = F.explode(F.array(*(F.struct(F.pmod(F.col("id") - off, F.lit(n)).alias("qid"), F.lit(i).alias("part")) for i, (off, _) in enumerate(PARTS)))).alias("of")
+    parts = rows.select(of, "v", "label").select("of.qid", "of.part", "v", "label").where("qid % 9 = 0")
+    out = parts.groupBy("qid").agg(*(F.max(F.when(F.col("part") == i, F.col("v"))).alias(f"v{i}") for i in range(len(PARTS))), F.max(F.when(F.col("part") == 0, F.col("label"))).alias("label"))
     total = F.transform("v0", lambda x, k: sum((w * F.col(f"v{i}")[k] for i, (_, w) in enumerate(PARTS)), F.lit(0.0)))
     return rows.select("id", "v"), out.select("qid", F.col("qid").alias("gold"), unit(total).alias("v"), "label")
 
@@ -98,7 +98,7 @@ EV = "ev as (select vec_id as answer_id, 'q' || (vec_id // 90) || '-' || label a
 def ranks(spark: SparkSession, sf: str) -> DataFrame:
     """(arm, qid, gold, rank) of the three arms, with twins taken out."""
     docs, queries = arms(spark, sf)
-    return known_item_ranks(queries, docs, twin_pairs(evalset(spark, sf)), ("arm",))
+    return known_item_ranks(queries, docs, by=("arm",), texts=gold_texts(evalset(spark, sf)))
 
 
 RANKS = f"""{ARMS}, {EV},

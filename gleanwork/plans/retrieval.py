@@ -39,9 +39,8 @@ def candidates(spark, sf):
 @query(f"with {_SIM}, {_TOP(5, 'label % 5 = qlabel % 5')} select qid, id, sim, pos from top")
 def filtered_topk(spark, sf):
     """Only documents of the query's department are searched."""
-    docs, queries = X.vectors(spark, sf)
-    group = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 5).alias("grp"))
-    found = R.top_k(queries.withColumn("grp", F.col("label") % 5), docs.join(group, "id"), 5, ("grp",))
+    docs = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), V.doubles(F.col("embedding")).alias("v"), (F.col("label") % 5).alias("grp"))
+    found = R.top_k(X.vectors(spark, sf)[1].withColumn("grp", F.col("label") % 5), docs, 5, ("grp",))
     return found.select("qid", "id", "sim", "pos")
 
 
@@ -51,10 +50,10 @@ r as (select *, row_number() over (partition by arm, qid order by sim desc, id)
 
 @query(f"with {_SIM} {_AB} select arm, count(*) as n, round(avg(sim), 9) as mean_sim from r where pos <= 5 group by 1")
 def source_ab(spark, sf):
-    """Search with and without the rows of one origin."""
-    docs, queries = X.vectors(spark, sf)
-    kept = docs.join(X.table(spark, sf, "embeddings").where("label != 0").select(F.col("vec_id").alias("id")), "id", "left_semi")
-    both = R.top_k(queries, docs, 5).withColumn("arm", F.lit("all")).unionByName(R.top_k(queries, kept, 5).withColumn("arm", F.lit("no_label_0")))
+    """Search with and without the rows of one origin, in one pass."""
+    docs = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), V.doubles(F.col("embedding")).alias("v"), F.explode(F.when(F.col("label") != 0, F.array(F.lit("all"), F.lit("no_label_0"))).otherwise(F.array(F.lit("all")))).alias("arm"))
+    queries = X.vectors(spark, sf)[1].withColumn("arm", F.explode(F.array(F.lit("all"), F.lit("no_label_0"))))
+    both = R.top_k(queries, docs, 5, ("arm",))
     return both.groupBy("arm").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 9).alias("mean_sim"))
 
 
@@ -117,12 +116,13 @@ _PAIRED = "select base_arm, arm, count(*) as n, round(avg(1.0 / rank - 1.0 / bas
 
 @query(f"with {_BASED} {_PAIRED}")
 def paired_compare(spark, sf):
+    """An arm without a common query would be an error."""
     ranks, _, base = _base(spark, sf)
-    return C.paired(ranks, base)
+    return C.common_or_fail(ranks, base)
 
 
 _BOOT = f"""with {_BASED}, d as (select base_arm, arm, row_number() over (partition by base_arm, arm order by gold) - 1 as i, count(*) over (partition by base_arm, arm) as n, 1.0::double / rank - 1.0::double / base_rank as d from pairs),
-r as (select unnest(range(40)) as r), draws as (select a.base_arm, a.arm, r.r, ('0x' || substr(md5(r.r || ':' || a.i), 1, 8))::bigint % a.n as i from d a, r),
+r as (select unnest(range(2000)) as r), draws as (select a.base_arm, a.arm, r.r, ('0x' || substr(md5(r.r || ':' || a.i), 1, 8))::bigint % a.n as i from d a, r),
 m as (select base_arm, arm, r, avg(d.d) as m from draws join d using (base_arm, arm, i) group by 1, 2, 3),
 edges as (select base_arm, arm, round(quantile_cont(m, 0.025), 9) as lo, round(quantile_cont(m, 0.975), 9) as hi from m group by 1, 2)
 select *, case when lo <= 0 and hi >= 0 then 'no difference' when lo > 0 then 'other better' else 'base better' end as verdict from edges"""
@@ -130,10 +130,18 @@ select *, case when lo <= 0 and hi >= 0 then 'no difference' when lo > 0 then 'o
 
 @query(_BOOT)
 def paired_bootstrap(spark, sf):
-    """40 resamples drawn by hash, which SQL can repeat."""
+    """2,000 resamples drawn by hash, which SQL can repeat."""
+    ranks, _, base = _base(spark, sf)
+    pairs = ranks.join(base.withColumnRenamed("rank", "base_rank"), ["arm", "gold"]).where("arm != base_arm")
+    return C.hash_bootstrap(pairs)
+
+
+@query()
+def paired_bootstrap_exact(spark, sf):
+    """2,000 resamples of indices by a seeded generator a comparison; tested against plain numpy."""
     ranks, _, base = _base(spark, sf)
     pairs = ranks.join(base.withColumnRenamed("rank", "base_rank"), ["arm", "gold"]).where("arm != base_arm")
-    return C.hash_bootstrap(pairs, 40)
+    return C.bootstrap_exact(pairs)
 
 
 @query()
@@ -218,17 +226,17 @@ def ranks_long(spark, sf):
     return io.long_ranks(io.wide_ranks(X.attributed(spark, sf), ARM_IDS), ["d64", "d32"])
 
 
-_MERGE = f"""with {RANKS}, new as (select arm, null as title, round(avg(1.0 / rank), 9) as mrr from ranks where arm <> 'd16' group by 1),
-old as (select arm, 'title of ' || arm as title, count(*)::double as mrr from ranks where arm <> 'd32' group by 1)
-select coalesce(n.arm, o.arm) as arm, coalesce(n.title, o.title) as title, case when n.arm is null then o.mrr else n.mrr end as mrr from new n full join old o on n.arm = o.arm"""
+_MERGE = f"""with {RANKS}, new as (select arm, 'default title' as title, round(avg(1.0 / rank), 9) as mrr from ranks where arm <> 'd16' group by 1),
+old as (select arm, case when arm = 'd16' then '' else 'title of ' || arm end as title, count(*)::double as mrr from ranks where arm <> 'd32' group by 1)
+select coalesce(n.arm, o.arm) as arm, case when o.title <> '' then o.title else n.title end as title, case when n.arm is null then o.mrr else n.mrr end as mrr from new n full join old o on n.arm = o.arm"""
 
 
 @query(_MERGE)
 def metrics_merge(spark, sf):
-    """A rewritten run keeps the titles that people gave it."""
+    """A rewritten run keeps the titles that people gave it, against its own default; an empty one does not count."""
     ranks = X.ranks(spark, sf)
-    new = ranks.where("arm != 'd16'").groupBy("arm").agg(F.lit(None).cast("string").alias("title"), F.round(C.mrr(), 9).alias("mrr"))
-    old = ranks.where("arm != 'd32'").groupBy("arm").agg(F.count("*").cast("double").alias("mrr")).select("arm", F.concat(F.lit("title of "), "arm").alias("title"), "mrr")
+    new = ranks.where("arm != 'd16'").groupBy("arm").agg(F.lit("default title").alias("title"), F.round(C.mrr(), 9).alias("mrr"))
+    old = ranks.where("arm != 'd32'").groupBy("arm").agg(F.count("*").cast("double").alias("mrr")).select("arm", F.when(F.col("arm") == "d16", "").otherwise(F.concat(F.lit("title of "), "arm")).alias("title"), "mrr")
     return M.merged_metrics(old, new, "arm", ["title"])
 
 
@@ -342,9 +350,9 @@ select m.qid, m.qid as gold, case when m.place is null then m.rank else 1 + (sel
 @query(_RERANK)
 def rerank_rank(spark, sf):
     docs, queries = X.vectors(spark, sf)
-    twins = R.twin_pairs(X.evalset(spark, sf))
-    base = R.known_item_ranks(queries.select("qid", "gold", "v"), docs, twins)
-    return R.candidate_ranks(rerank_job(spark, sf), base, twins)
+    texts = R.gold_texts(X.evalset(spark, sf))
+    base = R.known_item_ranks(queries.select("qid", "gold", "v"), docs, texts=texts)
+    return R.candidate_ranks(rerank_job(spark, sf), base, texts)
 
 
 @query(f"with {_SCORED}, l as (select qid, id, pos from top where pos <= 20 union all select qid, id, row_number() over (partition by qid order by score desc, pos) from scored), s as (select qid, id, round(sum(1.0::double / (60 + pos)), 12) as score from l group by 1, 2) select qid, id, score, row_number() over (partition by qid order by score desc, id) as pos from s qualify pos <= 20")

@@ -140,8 +140,22 @@ def baseline_ranks(spark: SparkSession, root: str, spec: str) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, pattern: str, version: int = 1) -> DataFrame:
-    """All runs' records of one schema version, by id."""
-    return spark.read.schema(METRICS).option("multiLine", True).json(pattern).where(F.col("schema_version") == version).orderBy("experiment_id")
+    """All runs' records of one schema version, by id: files of one record, on one line or many, and files with a record a line.
+
+    Files are read whole, as records of a run are small: a file that is one object has one record, else each line has one.
+    A line or file that is no record is an error, since a record that is left out would not be missed.
+    """
+    spark_schema = spark.createDataFrame([], METRICS).schema
+    files = spark.read.text(pattern, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("path"))
+    whole = F.from_json("value", spark_schema, {"mode": "PERMISSIVE"})
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    # One object over several lines has a line that is no object by itself, so lines count only if all of them are objects.
+    by_line = F.forall(lines, lambda x: F.trim(x).startswith("{") & F.trim(x).endswith("}"))
+    bodies = files.select("path", F.explode(F.when(by_line, lines).otherwise(F.array("value"))).alias("value")).where(F.trim("value") != "")
+    parsed = bodies.select("path", whole.alias("r"))
+    broken = F.raise_error(F.concat(F.lit("no run's record in "), "path"))
+    checked = parsed.select(F.when(F.col("r.schema_version").isNull(), broken.cast("int")).otherwise(F.col("r.schema_version")).alias("v"), "r")
+    return checked.where(F.col("v") == version).select("r.*").orderBy("experiment_id")
 
 
 def write_runs(runs: DataFrame, old: DataFrame | None, path: str) -> None:

@@ -60,6 +60,20 @@ def test_runs(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(json.dumps({"schema_version": version, "experiment_id": name, "arms": [{"arm_id": "x", "metrics": {"Hit@1": 0.5, "MRR": 0.6, "n": 3}}]}, indent=1))
     got = io.read_runs(spark, str(tmp_path)).collect()
     assert [r.experiment_id for r in got] == ["r1", "r2"] and got[0].arms[0].metrics["Hit@1"] == 0.5 and got[0].title is None
+    (tmp_path / "bad.json").write_text('{"schema_version": 1, "experi')
+    with pytest.raises(Exception, match="bad.json"):
+        io.read_runs(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_several_runs_are_read_again(spark, tmp_path, files):
+    """Three records in one file and in three; a run that is written again keeps what people wrote, in all records."""
+    runs = spark.createDataFrame([(1, x, f"by hand {x}" if x != "b" else None) for x in "abc"], "schema_version int, experiment_id string, title string").repartitionByRange(files, "experiment_id")
+    io.write_runs(runs.coalesce(files), None, f"{tmp_path}/x")
+    back = io.read_runs(spark, f"{tmp_path}/x")
+    assert [(r.experiment_id, r.title, r.question) for r in back.collect()] == [("a", "by hand a", None), ("b", None, None), ("c", "by hand c", None)]
+    io.write_runs(runs.withColumn("title", F.lit("default")), back, f"{tmp_path}/y")
+    assert [r.title for r in io.read_runs(spark, f"{tmp_path}/y").collect()] == ["by hand a", "default", "by hand c"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
