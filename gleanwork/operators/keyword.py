@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanwork.operators import pruned
 from gleanwork.operators.ranking import positioned
 
 K1, B = 1.5, 0.75
@@ -23,6 +24,15 @@ def term_statistics(docs: DataFrame, tokens: Column) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, query_tokens: Column, doc_tokens: Column, k: int = 30, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, id, score, pos): the k best documents; idf is ln(1 + (N - df + 0.5) / (df + 0.5)), never negative.
 
+    A bounded number of queries is searched with pruning, see pruned.py; more than that are joined: bm25_joined().
+    """
+    found = pruned.bm25_pruned(queries, docs, query_tokens, doc_tokens, k, k1, b)
+    return bm25_joined(queries, docs, query_tokens, doc_tokens, k, k1, b) if found is None else found
+
+
+def bm25_joined(queries: DataFrame, docs: DataFrame, query_tokens: Column, doc_tokens: Column, k: int = 30, k1: float = K1, b: float = B) -> DataFrame:
+    """bm25() of all matching pairs as rows, for any number of queries.
+
     Only terms that some query has are counted and joined; lengths come from the token arrays.
     """
     asked = queries.select("qid", F.explode(F.array_distinct(query_tokens)).alias("term"))
