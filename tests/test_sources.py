@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanwork.sources import io
+from gleanwork.sources import waves
+from gleanwork.streaming import ingest as S
 from gleanwork.streaming.ingest import ingest
 
 
@@ -84,7 +86,86 @@ def test_stream_equals_batch(spark, tmp_path):
     events.coalesce(1).write.mode("append").parquet(source)  # half of it is known
     ingest(spark, source, events.schema, target, checkpoint, "event_id")
     ingest(spark, source, events.schema, target, checkpoint, "event_id")
-    assert sorted(spark.read.parquet(target).collect()) == sorted(events.collect())
+    assert sorted(S.ingested(spark, target).collect()) == sorted(events.collect())
+
+
+def test_replays_late_repeats_and_files_read(spark, tmp_path):
+    """Batches of few keys read their own folders only; a lost checkpoint replays all and changes nothing; repeats early and late are dropped."""
+    schema = "id long, at timestamp, site string, body string"
+    rows = lambda ids, hour, body: spark.createDataFrame([(i, f"2026-01-01 {hour:02d}:00:00", None if i is None else f"s{i % 2}", body) for i in ids], "id long, at string, site string, body string").selectExpr("id", "timestamp(at) as at", "site", "body").coalesce(1)
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    run = lambda checkpoint: ingest(spark, source, schema, target, str(tmp_path / checkpoint), "id", 1, "at", "site", "2 hours", 16)
+    rows(range(40), 1, "first").write.mode("append").parquet(source)
+    first = run("a")
+    assert first[0]["files"] == [] and len(first[0]["buckets"]) > 8
+    rows([3, 3, 100], 2, "early repeat").write.mode("append").parquet(source)
+    rows([3, 7, 101, None], 9, "late repeat").write.mode("append").parquet(source)
+    later = [b for b in run("a") if b["buckets"]]
+    assert later and all(len(b["buckets"]) <= 3 and len(b["files"]) <= 3 * 3 for b in later)
+    assert all(any(f"bucket={k}/" in f for k in b["buckets"]) for b in later for f in b["files"])
+    want = {i: "first" for i in range(40)} | {100: "early repeat", 101: "late repeat"}
+    got = S.ingested(spark, target).collect()
+    assert {r.id: r.body for r in got} == want and len(got) == len(want)
+    raw = spark.read.parquet(f"{target}-raw").count()
+    seen = {r.source: r.last_seen.hour for r in S.last_seen(spark, target).collect()}
+    assert raw == 47 and seen == {"s0": 2, "s1": 9, None: 9}
+    run("b")  # from the beginning, into the same target
+    assert {r.id: r.body for r in S.ingested(spark, target).collect()} == want and S.ingested(spark, target).count() == len(want)
+    assert spark.read.parquet(f"{target}-raw").count() == raw and {r.source: r.last_seen.hour for r in S.last_seen(spark, target).collect()} == seen
+
+
+SETTINGS = {"model_name": "m", "dim": 4, "query_prefix": "q: ", "passage_prefix": "", "max_seq_len": None}
+
+
+def letters(fail_on=None, never=()):
+    """A factory of encoders that count four letters; fails on a text, or where a text is seen that was done before."""
+
+    def factory():
+        def encode(texts):
+            if any(fail_on is not None and t.endswith(fail_on) for t in texts) or set(texts) & set(never):
+                raise RuntimeError("killed")
+            return [[t.count(c) for c in "aeio"] for t in texts]
+
+        return encode
+
+    return factory
+
+
+def test_a_killed_run_goes_on(spark, tmp_path):
+    root = str(tmp_path / "arm")
+    items = spark.createDataFrame([("doc", str(i), "a" * (i % 50) + f" text {i}") for i in range(120)] + [("query", "7", "what"), ("query", "7", "zz"), ("doc", "x", None), ("doc", None, "no id")], "kind string, id string, text string")
+    late = items.where("kind = 'doc' and id != 'x' and pmod(xxhash64(id, kind), 6) = 3").first().text
+    with pytest.raises(Exception, match="killed"):
+        waves.encode_into(root, items, letters(fail_on=late), SETTINGS | {"run": 1}, waves=6, partitions=2)
+    digest = waves.settings_digest(SETTINGS | {"run": 1})
+    before = waves.committed(spark, root, io.EMBEDDING, digest)
+    done = {r.id for r in before.where("kind = 'doc'").collect()}
+    spark.createDataFrame([("doc", "0", [1.0], "m", 1, "", "", None)], io.EMBEDDING).write.parquet(f"{root}/parts/left-behind")
+    texts = {f"{'a' * (int(i) % 50)} text {i}" for i in done if i != "x"}
+    waves._made.clear()
+    new = waves.encode_into(root, items, letters(never=texts), SETTINGS | {"run": 1}, waves=6, partitions=2)
+    rows = waves.committed(spark, root, io.EMBEDDING, digest).collect()
+    keys = [(r.kind, r.id) for r in rows]
+    assert len(keys) == len(set(keys)) == 122 and new == 122 - before.count() and 0 < len(done) < 121
+    v = {k: r.embedding for k, r in zip(keys, rows, strict=True)}
+    assert v["query", "7"] == pytest.approx([1.0, 0, 0, 0]) and v["doc", "x"] == [0.0] * 4
+    assert waves.encode_into(root, items, letters(fail_on=""), SETTINGS | {"run": 1}, waves=2, partitions=2) == 0
+    assert waves.committed(spark, root, io.EMBEDDING, waves.settings_digest(SETTINGS)).count() == 0
+
+
+def test_only_missing_arms_are_computed(spark, tmp_path):
+    root, asked = str(tmp_path / "ranks"), []
+
+    def compute(names):
+        asked.append(sorted(names))
+        return spark.createDataFrame([(n, g, len(asked)) for n in names for g in range(3)], "arm string, gold long, rank int")
+
+    arms = {"a": {"k": 20}, "b": {"k": 20, "dim": 64}}
+    read = lambda: {(r.arm, r.gold): r["rank"] for r in waves.reused(spark, root, arms, compute, "arm string, gold long, rank int").collect()}
+    assert read() == read() and asked == [["a", "b"]]
+    arms["b"] = {"k": 20, "dim": 32}
+    got = read()
+    assert asked == [["a", "b"], ["b"]] and got["a", 0] == 1 and got["b", 2] == 2 and len(got) == 6
 
 
 def test_a_run_as_baseline(spark, tmp_path):
