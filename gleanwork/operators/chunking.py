@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +103,47 @@ def breaks(rows: DataFrame, by: list[str], order: str, sim: str, threshold: floa
     return rows.withColumn("chunk", F.sum(new).over(Window.partitionBy(*by).orderBy(order)))
 
 
+#: A sentence ends with the white space behind its last mark; what is left at the end is one too.
+SENTENCES = r"(?s).*?[.!?]+[\t\n\r ]+|.+"
+
+
+def semantic(rows: DataFrame, factory, id: str, text: str = "text", threshold: float | None = None, percentile: float | None = None, most: int = 64) -> DataFrame:
+    """(id, chunk_index, start, sentences, content): whole texts cut where a sentence is unlike the one before; chunks joined are the text.
+
+    A break is a similarity of neighbours under `threshold`, or under this percentile of the text's own similarities.
+    Sentences are encoded in order, `most` at once, and the last vector of a batch meets the first of the next, so
+    nothing is joined. start counts characters. Null and empty texts have no chunk. factory() is called once a task.
+    """
+    from gleanwork.operators.models import unit_rows
+
+    if (threshold is None) == (percentile is None):
+        raise ValueError("give a threshold or a percentile")
+    types, find = dict(rows.dtypes), re.compile(SENTENCES)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = factory()
+        for part in parts:
+            for row, t in enumerate(part.column(text).to_pylist()):
+                sentences, sims, last = find.findall(t or ""), [], None
+                for i in range(0, len(sentences), most):
+                    v = unit_rows(encoder(sentences[i : i + most]))
+                    near = v if last is None else np.concatenate([last, v])
+                    sims.append(np.round((near[1:] * near[:-1]).sum(axis=1), 9))
+                    last = v[-1:]
+                if not sentences:
+                    continue
+                sims = np.concatenate(sims)
+                edge = threshold if threshold is not None else (float(np.percentile(sims, percentile)) if len(sims) else 0.0)
+                begin = np.flatnonzero(np.append(True, sims < edge))
+                size = np.diff(np.append(begin, len(sentences)))
+                content = ["".join(sentences[b : b + n]) for b, n in zip(begin, size, strict=True)]
+                start = np.cumsum([0, *(len(c) for c in content[:-1])])
+                arrays = [part.column(id).take(pa.array(np.full(len(begin), row))), pa.array(np.arange(len(begin), dtype=np.int32)), pa.array(start.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(content, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[id, "chunk_index", "start", "sentences", "content"])
+
+    return rows.select(id, text).mapInArrow(run, f"`{id}` {types[id]}, chunk_index int, start long, sentences int, content string")
+
+
 def decomposed(rows: DataFrame, flag: str, text: str = "content", pattern: str = SENTENCE) -> DataFrame:
     """Flagged rows become one row per question; one that does not split, and all others, stay as they are."""
     parts = F.filter(F.split(text, pattern), lambda x: F.trim(x) != "")

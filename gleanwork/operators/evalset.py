@@ -46,10 +46,27 @@ def generated_questions(chunks: DataFrame, generator: Callable[[Column], Column]
 
     generator makes an array<string> of a column (a pandas UDF around a model, or an expression); blank questions go.
     """
-    asked = F.slice(F.array_distinct(F.filter(F.transform(generator(F.col(text)), strip), lambda q: q != "")), 1, most)
+    asked = F.slice(F.array_distinct(F.filter(F.transform(generator(F.col(text)), lambda q: strip(q)), lambda q: q != "")), 1, most)
     return chunks.select(*chunks.columns, F.posexplode(asked).alias("question_index", "question"))
 
 
+def round_trip(chunks: DataFrame, generator: Callable[[Column], Column], factory, text: str = "content", most: int = 5) -> DataFrame:
+    """(id, question_index, question) of the generated questions that find their own chunk first among all chunks (id, content).
+
+    Questions are made and deduplicated inside their chunk, encoded, and searched; chunks stay where they lie. Of equally
+    similar chunks the smaller id is first.
+    """
+    from gleanwork.operators.models import vectors
+    from gleanwork.operators.ranking import top_k
+
+    asked = generated_questions(chunks.select("id", text), generator, text, most).select("id", "question_index", "question")
+    key = F.concat_ws(":", F.col("id").cast("string"), "question_index")
+    queries = vectors(asked.withColumn("qid", key), factory, "question", ["qid"])
+    first = top_k(queries, vectors(chunks, factory, text, ["id"]), 1).select("qid", F.col("id").alias("found"))
+    own = asked.withColumn("qid", key).join(first, "qid")
+    return own.where("id = found").select("id", "question_index", "question")
+
+
 def remaining(items: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Items that are not done yet."""
     return items.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,36 @@ def hashing_encoder(dim: int = 64) -> Encoder:
     return encode
 
 
+def letter_encoder() -> Encoder:
+    """A deterministic stand-in that SQL can repeat: how often a text has each letter a to z."""
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+
+    def encode(texts: Sequence[str]) -> np.ndarray:
+        return np.array([[t.count(x) for x in letters] for t in texts], dtype=np.float64).reshape(-1, len(letters))
+
+    return encode
+
+
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    v = np.asarray(v, dtype=np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+
+def vectors(rows: DataFrame, factory: Callable[[], Encoder], text: str, kept: Sequence[str]) -> DataFrame:
+    """(kept, v): unit vectors of a text column, a model's batch at a time; factory() is called once a task. Null is the empty text."""
+    types = dict(rows.dtypes)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = factory()
+        for part in parts:
+            texts = [t or "" for t in part.column(text).to_pylist()]
+            for i, j in batches([len(t) for t in texts]):
+                v = pa.array(list(unit_rows(encoder(texts[i:j]))), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).slice(i, j - i) for c in kept), v], names=[*kept, "v"])
+
+    return rows.select(*dict.fromkeys([*kept, text])).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "v array<double>"]))
+
+
 def embed(items: DataFrame, encoder: Encoder, model: str, dim: int, query_prefix: str, passage_prefix: str, max_seq_len: int | None, partitions: int) -> DataFrame:
     """Embedding rows of items (kind, id, text): longest first, kinds apart, unit length, the settings in every row."""
     schema = "kind string, id string, embedding array<float>, model_name string, dim int, query_prefix string, passage_prefix string, max_seq_len int"
@@ -81,6 +113,22 @@ def overlap_scorer(queries: Sequence[str], texts: Sequence[str]) -> list[float]:
     return out
 
 
+def count_tokens(rows: DataFrame, factory: Callable[[], Callable[[Sequence[str]], Sequence[int]]], text: str = "content") -> DataFrame:
+    """rows with n_tokens of the whole text, by a counter that factory() makes once a task; null counts as empty. For profile.over_limit(..., counted=True)."""
+
+    def start():
+        counter = factory()
+        return lambda texts: [[int(n) for n in counter([t or "" for t in texts])]]
+
+    return with_made(rows, "n_tokens bigint", [text], start, text)
+
+
+def word_counter() -> Callable[[Sequence[str]], list[int]]:
+    """A stand-in for a tokenizer: runs of anything but white space."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    return lambda texts: [sum(1 for _ in word.finditer(t)) for t in texts]
+
+
 def rewrite(rows: DataFrame, rewriter: Callable[[str], str], text: str = "content") -> DataFrame:
     """rows with query and error; a failure is kept with its type, not raised."""
 

@@ -75,6 +75,21 @@ def duplicates(rows: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
+#: Of 2^12 registers the estimate is off by 1.04 / 2^6 = 1.6 % of the count (one standard deviation).
+SKETCH_BITS = 12
+
+
+def distinct_sketches(rows: DataFrame, by: list[str], columns: list[str], bits: int = SKETCH_BITS) -> DataFrame:
+    """(by, a sketch for each column): what later runs merge instead of reading the rows again; some kilobytes a group, whatever its size."""
+    return rows.groupBy(*by).agg(*(F.hll_sketch_agg(F.col(c).cast("string"), bits).alias(c) for c in columns))
+
+
+def merged_counts(sketches: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by, column, distinct): estimated distinct values over all sketches of a group, of any splits and runs."""
+    merged = sketches.groupBy(*by).agg(*(F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns))
+    return merged.unpivot(by, columns, "column", "distinct")
+
+
 def order_statistics(rows: DataFrame, by: list[str], value: str, rules: dict[str, Column]) -> DataFrame:
     """Per group the value at a 0-based index of its sorted values; rules give the index from the column n.
 

@@ -95,9 +95,11 @@ def evalset(spark: SparkSession, sf: str) -> DataFrame:
 EV = "ev as (select vec_id as answer_id, 'q' || (vec_id // 90) || '-' || label as query, 'd' || (label % 5) as department, label % 2 = 1 as orig_is_multi from embeddings where vec_id % 9 = 0)"
 
 
-def ranks(spark: SparkSession, sf: str) -> DataFrame:
-    """(arm, qid, gold, rank) of the three arms, with twins taken out."""
+def ranks(spark: SparkSession, sf: str, names: list[str] | None = None) -> DataFrame:
+    """(arm, qid, gold, rank) of the three arms, or those of these names, with twins taken out."""
     docs, queries = arms(spark, sf)
+    if names is not None:
+        docs, queries = docs.where(F.col("arm").isin(*names)), queries.where(F.col("arm").isin(*names))
     return known_item_ranks(queries, docs, by=("arm",), texts=gold_texts(evalset(spark, sf)))
 
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from gleanwork.functions import text as T
 from gleanwork.functions import vectors as V
+from gleanwork.functions.staging import shared_dir
 from gleanwork.operators import compare as C
 from gleanwork.operators import maintenance as M
 from gleanwork.operators import ranking as R
 from gleanwork.plans import fixtures as X
 from gleanwork.plans.fixtures import ARMS, ATTRIBUTED, EV, RANKS, VEC
 from gleanwork.plans.registry import query
-from gleanwork.sources import io
+from gleanwork.sources import io, waves
 
 ARM_IDS = ["d64", "d32", "d16"]
 _SIM = f"{VEC}, sim as (select q.qid, q.label as qlabel, e.id, e.label, round(list_dot_product(q.v, e.v), 9) as sim from q, e)"
@@ -240,12 +244,6 @@ def metrics_merge(spark, sf):
     return M.merged_metrics(old, new, "arm", ["title"])
 
 
-@query("select count(distinct len(embedding)) as kinds, count(*) as n, min(len(embedding))::int as dim from embeddings")
-def meta_consistency(spark, sf):
-    """All rows, not only a shard's first: one kind of settings must be left."""
-    return X.table(spark, sf, "embeddings").agg(F.count_distinct(F.size("embedding")).alias("kinds"), F.count("*").alias("n"), F.min(F.size("embedding")).alias("dim"))
-
-
 @query("with e as (select sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings) select round(min(n), 6) as least, round(max(n), 6) as most, bool_and(abs(n - 1) <= 0.01) as ok from e")
 def norm_check(spark, sf):
     n = V.norm(V.doubles(F.col("embedding")))
@@ -270,8 +268,17 @@ def force_normalize(spark, sf):
 @query("""select distinct label as arm, sha1('{"k": 20, "label": ' || label || '}') as fingerprint from embeddings""")
 def run_fingerprint(spark, sf):
     labels = X.table(spark, sf, "embeddings").select(F.col("label").alias("arm")).distinct()
-    text = F.concat(F.lit('{"k": 20, "label": '), F.col("arm").cast("string"), F.lit("}"))
-    return labels.select("arm", F.sha1(text).alias("fingerprint"))
+    return labels.select("arm", F.coalesce(*(F.when(F.col("arm") == n, T.fingerprint({"label": n, "k": 20})) for n in range(10))).alias("fingerprint"))
+
+
+@query(f"with {RANKS} select arm, gold, rank from ranks")
+def reused_ranks(spark, sf):
+    """The first run stores one arm under the digest of its settings; the second reads it and computes the two others."""
+    root, schema = f"{shared_dir(spark)}/ranks-{uuid.uuid4().hex}", "arm string, gold long, rank long"
+    arms = {a: {"dim": int(a[1:]), "k": 20} for a in ARM_IDS}
+    compute = lambda names: X.ranks(spark, sf, names).select("arm", "gold", "rank")
+    waves.reused(spark, root, {"d64": arms["d64"]}, compute, schema)
+    return waves.reused(spark, root, arms, compute, schema)
 
 
 _PAYLOADS = "doc as (select vec_id as id, 'answer ' || (vec_id // 4) as payload, 's' || (vec_id % 6) as source, 'text ' || label || ' ' || (vec_id % 7) || ' ' || (vec_id // 90) as body from embeddings)"
@@ -371,15 +378,19 @@ def coverage_gap(spark, sf):
     return best.where("best < 0.55")
 
 
-@query(f"with {_CAND} select case when source in ('s0', 's1') then 'first' else 'rest' end as mix, round(avg((id % 3 = 0)::int), 9) as mean, count(*) as n from cand where pos <= 5 group by 1")
+@query(f"with {_SCORED} select case when d.source in ('s0', 's1') then 'first' else 'rest' end as mix, round(avg((score >= 0.6)::int), 9) as mean, count(*) as n from scored s join doc d on d.id = s.id where pos <= 5 group by 1")
 def judge_mean(spark, sf):
-    """Mean 0/1 judgement of the first results by origin; the stand-in judge looks at the id."""
+    """Mean 0/1 judgement of the first results by origin; the stand-in judge wants three fifths of the query's words."""
+    from gleanwork.operators.models import judge, overlap_scorer
+
     mix = F.when(F.col("source").isin("s0", "s1"), "first").otherwise("rest").alias("mix")
-    return _candidates(spark, sf).where("pos <= 5").groupBy(mix).agg(F.round(F.avg((F.col("id") % 3 == 0).cast("double")), 9).alias("mean"), F.count("*").alias("n"))
+    results = rerank_pairs(spark, sf).where("pos <= 5").withColumnRenamed("text", "context").join(_docs(spark, sf).select("id", "source"), "id")
+    judged = judge(results, lambda q, c: overlap_scorer([q], [c])[0] >= 0.6)
+    return judged.groupBy(mix).agg(F.round(F.avg("judgement"), 9).alias("mean"), F.count("*").alias("n"))
 
 
 @query(f"with {VEC}, s as (select a.id, a.id // 100 as doc, round(list_dot_product(a.v, b.v), 9) as sim from e a left join e b on b.id = a.id - 1) select id, doc, sum(case when sim < 0.1 then 1 else 0 end) over (partition by doc order by id)::bigint as chunk from s")
-def semantic_chunks(spark, sf):
+def vector_breaks(spark, sf):
     """Rows in order of id, in documents of a hundred for the similarity to the row before; a break under 0.1."""
     from gleanwork.operators.chunking import breaks
 

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from gleanwork.functions.staging import shared_dir, staged
 from gleanwork.functions.text import tokens as token_list
 from gleanwork.operators import chunking as C
+from gleanwork.operators import evalset as E
 from gleanwork.operators import keyword as K
 from gleanwork.operators import maintenance as M
 from gleanwork.operators import models as D
+from gleanwork.operators import profile as P
+from gleanwork.operators import ranking as R
 from gleanwork.plans import corpus
 from gleanwork.plans import fixtures as X
 from gleanwork.plans.fixtures import QA
 from gleanwork.plans.registry import query
+from gleanwork.sources import io, waves
+from gleanwork.sources.io import EMBEDDING, SETTINGS
 
 _FOREIGN = "(?i)license"
 
@@ -117,11 +125,75 @@ def bm25_topk(spark, sf):
     return K.bm25(asked, _bare(spark, sf), token_list(F.col("asked")), token_list(F.col("text")))
 
 
-@query()
+def _letters(c: str) -> str:
+    """models.letter_encoder() as SQL."""
+    return f"list_transform(range(97, 123), lambda i: (length({c}) - length(replace({c}, chr(i::int), '')))::double)"
+
+
+def _unit(v: str) -> str:
+    return f"list_transform({v}, lambda x: x / greatest(sqrt(list_dot_product({v}, {v})), 1e-9))"
+
+
+_SETTINGS = {"model_name": "letters", "dim": 26, "query_prefix": "query: ", "passage_prefix": "passage: ", "max_seq_len": None}
+_ITEMS = f"{QA}, items as (select 'query' as kind, id, 'query: ' || content as t from kept where split = 'Validation' union all select 'doc', id, 'passage: ' || content from kept)"
+
+
+def _encoded(spark, sf):
+    """The items' vectors, made by two runs into one folder: the first has a third of the keys, the second goes on."""
+    items, root = corpus.embed_items(spark, sf), f"{shared_dir(spark)}/arm-{uuid.uuid4().hex}"
+    waves.encode_into(root, items.where(F.crc32(F.encode("id", "utf-8")) % 3 == 0), D.letter_encoder, _SETTINGS, waves=1, partitions=8)
+    waves.encode_into(root, items, D.letter_encoder, _SETTINGS, waves=2, partitions=8)
+    return waves.committed(spark, root, EMBEDDING, waves.settings_digest(_SETTINGS))
+
+
+@query(f"with {_ITEMS}, v as (select kind, id, {_letters('t')} as v from items) select kind, id, 'letters' as model_name, 26 as dim, round((v[1] / greatest(sqrt(list_dot_product(v, v)), 1e-9))::float::double, 6) as first, round((v[5] / greatest(sqrt(list_dot_product(v, v)), 1e-9))::float::double, 6) as fifth from v")
 def embed_job(spark, sf):
-    """Hashed words stand in for the model."""
-    items = corpus.prefixing(spark, sf)
-    return D.embed(items, D.hashing_encoder(), "hashing", 64, "query: ", "passage: ", None, 16)
+    """Letter counts stand in for the model. Part of the keys was encoded by a run before."""
+    return _encoded(spark, sf).select("kind", "id", "model_name", "dim", *(F.round(F.col("embedding")[k].cast("double"), 6).alias(c) for k, c in ((0, "first"), (4, "fifth"))))
+
+
+@query(f"with {_ITEMS} select 'letters' as model_name, 26 as dim, 'query: ' as query_prefix, 'passage: ' as passage_prefix, null::int as max_seq_len, count(*) as n from items")
+def meta_consistency(spark, sf):
+    """An arm's rows are counted once they are known to have one kind of settings."""
+    return M.one_setting(_encoded(spark, sf), SETTINGS).groupBy(*SETTINGS).agg(F.count("*").alias("n"))
+
+
+_HYBRID = f"""dv as (select doc_id as id, {_letters("coalesce(text, '')")} as u from documents), qv as (select item_id as qid, {_letters("coalesce(text, '')")} as u from benchmark),
+near as (select qid, id, round(list_dot_product({_unit('q.u')}, {_unit('d.u')}), 9) as sim from qv q, dv d),
+both_lists as (select qid, id, row_number() over (partition by qid order by sim desc, id) as pos from near qualify pos <= 30 union all select qid, id, pos from bm),
+fused as (select qid, id, round(sum(1.0::double / (60 + pos)), 12) as score from both_lists group by 1, 2)"""
+
+
+@query(f"with bm as ({_BM25}), {_HYBRID} select qid, id, score, row_number() over (partition by qid order by score desc, id) as pos from fused qualify pos <= 20")
+def hybrid_rrf(spark, sf):
+    """The first 30 documents by vector and the first 30 by keyword, fused to 20."""
+    items = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    near = R.top_k(D.vectors(items, D.letter_encoder, "text", ["qid"]), D.vectors(_bare(spark, sf), D.letter_encoder, "text", ["id"]), 30)
+    return R.fused([near, bm25_topk(spark, sf)])
+
+
+_SENT = r"(?s).*?[.!?]+[\t\n\r ]+|.+"
+
+
+@query(f"""with s as (select doc_id, unnest(regexp_extract_all(text, '{_SENT}')) as sentence, generate_subscripts(regexp_extract_all(text, '{_SENT}'), 1) as k from documents where text <> ''),
+v as (select *, {_letters('sentence')} as u from s), w as (select doc_id, k, sentence, {_unit('u')} as u from v),
+b as (select a.doc_id, a.k, a.sentence, case when round(list_dot_product(a.u, p.u), 9) < 0.6 then 1 else 0 end as new from w a left join w p on p.doc_id = a.doc_id and p.k = a.k - 1),
+c as (select *, sum(new) over (partition by doc_id order by k)::int as chunk_index, sum(length(sentence)) over (partition by doc_id order by k) - length(sentence) as pos from b)
+select doc_id, chunk_index, min(pos)::bigint as start, count(*)::int as sentences, string_agg(sentence, '' order by k) as content from c group by 1, 2""")
+def semantic_chunks(spark, sf):
+    """Whole texts, cut where a sentence has other letters than the one before."""
+    return C.semantic(_documents(spark, sf), D.letter_encoder, "doc_id", threshold=0.6)
+
+
+_TURN = "turn as (select conv_id * 1000 + turn as id, text as content from conversations)"
+_ASKED = "asked as (select id, unnest(q) as question, generate_subscripts(q, 1)::int - 1 as question_index from (select id, list_filter(list_transform(string_split(content, '.'), lambda x: trim(x, e' \t\n\r')), lambda x: x <> '') as l, list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i])[1:3] as q from turn))"
+
+
+@query(f"with {_TURN}, {_ASKED}, c as (select id, {_letters('content')} as u from turn), cv as (select id, {_unit('u')} as v from c), a as (select *, {_letters('question')} as u from asked), av as (select id, question_index, question, {_unit('u')} as v from a), s as (select av.id, question_index, question, cv.id as found, round(list_dot_product(av.v, cv.v), 9) as sim from av, cv) select id, question_index, question from s qualify row_number() over (partition by id, question_index order by sim desc, found) = 1 and found = id")
+def roundtrip_chain(spark, sf):
+    """Turns as chunks: up to three sentences each are asked, encoded and searched among all turns; kept are those that find their own."""
+    turns = X.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))
+    return E.round_trip(turns, lambda c: F.split(c, r"\."), D.letter_encoder, most=3)
 
 
 def _plainer(text: str) -> str:
@@ -139,6 +211,32 @@ def rewrite_job(spark, sf):
     return D.rewrite(rows, _plainer).select("id", "query", "error")
 
 
+@query(f"with {QA}, t as (select id, len(regexp_extract_all(content, '[^\\x20\\x09-\\x0D]+')) as n_tokens from kept) select id, n_tokens, n_tokens > 128 as over_128, n_tokens > 512 as over_512 from t")
+def token_limits(spark, sf):
+    """Tokens are counted by a plug-in (here: words), and the limit is one of tokens."""
+    counted = D.count_tokens(X.kept(spark, sf).select("id", "content"), D.word_counter)
+    return counted.select("id", "n_tokens", *(P.over_limit(F.col("n_tokens"), n, counted=True).alias(f"over_{n}") for n in (128, 512)))
+
+
+@query(f"with {QA} select split, 'content' as column, count(distinct content) as exact, true as within from kept group by 1 union all select split, 'payload', count(distinct payload), true from kept group by 1 union all select 'all', 'content', count(distinct content), true from kept union all select 'all', 'payload', count(distinct payload), true from kept")
+def merged_distinct(spark, sf):
+    """Sketches stored per split and department, merged per split and over all; within: at most 7 % off the exact count."""
+    rows, columns = X.kept(spark, sf), ["content", "payload"]
+    stored = staged(P.distinct_sketches(rows, ["split", "department"], columns), "sketches")
+    both = P.merged_counts(stored, ["split"], columns).unionByName(P.merged_counts(stored.withColumn("split", F.lit("all")), ["split"], columns))
+    twice = rows.unionByName(rows.withColumn("split", F.lit("all")))
+    exact = twice.groupBy("split").agg(*(F.count_distinct(F.sha2(c, 256)).alias(c) for c in columns)).unpivot(["split"], columns, "column", "exact")
+    return both.join(exact, ["split", "column"]).select("split", "column", "exact", (F.abs(F.col("distinct") - F.col("exact")) <= 0.07 * F.col("exact")).alias("within"))
+
+
+@query("select doc_id, text, lang, source from documents")
+def jsonl_round_trip(spark, sf):
+    """Documents written as JSON lines and read with a declared schema."""
+    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    io.write_jsonl(X.table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), path)
+    return io.read_jsonl(spark, path, "doc_id long, text string, lang string, source string")
+
+
 _NOW = "2026-01-02 00:00:00"
 _UPSERT = f"""with o as (select doc_id as id, lang, n_chars, timestamp '2026-01-01' as created_at, timestamp '2026-01-01' as updated_at from documents where doc_id % 5 <> 0),
 n as (select doc_id as id, upper(lang) as lang, n_chars from documents where doc_id % 3 = 0)

@@ -213,9 +213,9 @@ def test_model_jobs_leave_large_ids_beside_nulls(spark):
 def test_answered_and_generated(spark):
     turns = frame(spark, [(1, 1, "user", "q"), (1, 2, "assistant", "long answer"), (1, 3, "user", "r"), (1, 4, "user", "s"), (2, 1, "user", "t"), (2, 2, "assistant", "no")], "c long, turn int, role string, text string")
     assert [tuple(r) for r in E.answered(turns, "c", "turn", "role", "text", 5).collect()] == [(1, "q", "long answer")]
-    chunks = frame(spark, [(1, "a? b? a?  ?"), (2, "")], "id long, content string")
+    chunks = frame(spark, [(1, "a? b? a?  ?"), (2, ""), (3, "Column x moon ?lump")], "id long, content string")
     got = E.generated_questions(chunks, lambda c: F.split(c, r"\?")).collect()
-    assert [(r.id, r.question_index, r.question) for r in got] == [(1, 0, "a"), (1, 1, "b")]
+    assert [(r.id, r.question_index, r.question) for r in got] == [(1, 0, "a"), (1, 1, "b"), (3, 0, "Column x moon"), (3, 1, "lump")]
 
 
 def test_no_common_queries(spark):
@@ -232,3 +232,42 @@ def test_duplicates_and_requests(spark):
     asked = frame(spark, [("q", None), ("", 3), ("r", 11), ("x" * 1001, 1)], "question string, k int")
     assert [(r.question, r.top_k) for r in P.valid_requests(asked, "question", F.col("k")).collect()] == [("q", 3)]
     assert P.mismatched(rows, "c", "c").count() == 0
+
+
+def test_semantic_chunks_rebuild_the_text(spark):
+    rng = random.Random(2)
+    texts = [(i, "".join(rng.choice(["ab. ", "zz! ", "a.b ", "qq\n", "ä? ", "  ", "... "]) for _ in range(rng.randrange(90)))) for i in range(25)] + [(30, ""), (31, None), (32, "no end")]
+    df = frame(spark, texts, "id long, text string").repartition(2)
+    one = {t: C.semantic(df, D.letter_encoder, "id", threshold=t, most=m).toPandas() for t, m in ((0.5, 64), (0.9, 3), (0.90, 1))}
+    for parts in one.values():
+        for i, t in texts:
+            mine = parts[parts.id == i].sort_values("chunk_index")
+            assert "".join(mine.content) == (t or "") and all((t or "")[s : s + len(c)] == c for s, c in zip(mine.start, mine.content, strict=True))
+    least = C.semantic(df, D.letter_encoder, "id", percentile=0).toPandas()
+    assert len(least) == sum(bool(t) for _, t in texts)  # nothing is under the smallest
+    assert len(C.semantic(df, D.letter_encoder, "id", percentile=60).toPandas()) > len(least)
+    long = C.semantic(frame(spark, [(1, "aa. " * 70 + "zz. " * 70)], "id long, text string"), D.letter_encoder, "id", threshold=0.5, most=7).toPandas()
+    assert long.sentences.tolist() == [70, 70]
+    with pytest.raises(ValueError):
+        C.semantic(df, D.letter_encoder, "id")
+
+
+def test_round_trip(spark):
+    """A question that fits another chunk better goes; equal chunks: the smaller id has it."""
+    chunks = frame(spark, [(1, "aaa b. ccc"), (2, "ccc. ccc"), (3, "ccc. ccc"), (4, None), (5, "")], "id long, content string")
+    got = E.round_trip(chunks, lambda c: F.split(c, r"\."), D.letter_encoder).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "aaa b"), (2, 0, "ccc")]
+
+
+def test_sketches_merge(spark):
+    """Sketches of splits merged are those of all rows, and the estimate is within its bound."""
+    rows = spark.range(60_000).selectExpr("id % 7 as split", "id % 20011 as v", "if(id % 3 = 0, null, id) as w")
+    parts = P.distinct_sketches(rows, ["split"], ["v", "w"]).withColumn("run", F.lit(1))
+    got = {r.column: r.distinct for r in P.merged_counts(parts, ["run"], ["v", "w"]).collect()}
+    whole = {r.column: r.distinct for r in P.merged_counts(P.distinct_sketches(rows.withColumn("run", F.lit(1)), ["run"], ["v", "w"]), ["run"], ["v", "w"]).collect()}
+    assert got == whole and abs(got["v"] - 20011) < 0.07 * 20011 and abs(got["w"] - 40000) < 0.07 * 40000
+
+
+def test_counted_tokens(spark):
+    rows = frame(spark, [(1, "a b\n c"), (2, None), (3, "")], "id long, content string")
+    assert {r.id: r.n_tokens for r in D.count_tokens(rows, D.word_counter).collect()} == {1: 3, 2: 0, 3: 0}
