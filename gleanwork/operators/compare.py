@@ -125,7 +125,8 @@ def hash_bootstrap(pairs: DataFrame, resamples: int = 2000) -> DataFrame:
     """
     row = F.struct("gold", (1 / F.col("rank") - 1 / F.col("base_rank")).alias("d"))
     arrays = pairs.groupBy("base_arm", "arm").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["d"]).alias("d"))
-    draws = arrays.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition("base_arm", "arm", "r")
+    draws = arrays.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    draws = draws.repartition(pairs.sparkSession.sparkContext.defaultParallelism, "base_arm", "arm", "r")  # not coalesced, though the rows are few
     at = lambda j: (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("r"), j).cast("binary")), 1, 8), 16, 10).cast("long") % F.size("d")).cast("int")
     mean = F.aggregate(F.sequence(F.lit(0), F.size("d") - 1), F.lit(0.0), lambda s, j: s + F.get("d", at(j))) / F.size("d")
     means = draws.select("base_arm", "arm", mean.alias("m"))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanwork.functions.batches import ranges
 from gleanwork.operators.compare import hit, mrr
 from gleanwork.operators.maintenance import one_setting
 
@@ -38,8 +41,62 @@ SETTINGS = ["model_name", "dim", "query_prefix", "passage_prefix", "max_seq_len"
 QA_ARCHIVES, CORPUS_ARCHIVES = ("TL_", "VL_"), ("TS_", "VS_")
 
 
-def unzipped(spark: SparkSession, root: str, prefixes: tuple[str, ...], most: int = 500) -> DataFrame:
-    """(archive, member, body): the JSON files inside the zips under root whose names begin so; one task a zip, `most` members a batch."""
+#: Uncompressed bytes of the members that one task reads at a time.
+RANGE = 32_000_000
+
+
+def _opened(path: str):
+    """A seekable file of a store that pyarrow can open: local, HDFS, S3 and others."""
+    from pyarrow import fs
+
+    local = re.match(r"file:/+", path)
+    store, inner = (fs.LocalFileSystem(), "/" + path[local.end() :]) if local else fs.FileSystem.from_uri(quote(path, safe=":/@?="))
+    return store.open_input_file(inner)
+
+
+def member_ranges(archives: DataFrame, most: int = RANGE) -> DataFrame:
+    """(path, start, count) for archives (path): consecutive .json members of at most `most` bytes together, from the central directories alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                with _opened(path) as f, zipfile.ZipFile(f) as z:
+                    sizes = [m.file_size for m in z.infolist() if m.filename.endswith(".json")]
+                yield pd.DataFrame([(path, i, j - i) for i, j in ranges(len(sizes), sizes, most)], columns=["path", "start", "count"])
+
+    return archives.select("path").mapInPandas(run, "path string, start long, count long")
+
+
+def unzipped(spark: SparkSession, root: str, prefixes: tuple[str, ...], most: int = RANGE) -> DataFrame:
+    """(archive, member, body): the JSON files inside the zips under root whose names begin so.
+
+    Archives are listed without their content. Each is cut to ranges of members, which are dealt to tasks; a task seeks
+    to its members by their offsets, so an archive is read by many tasks and never held whole. The archives
+    must lie in a store that pyarrow opens; unzipped_whole() is for others.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, start, count in batch.itertuples(index=False):
+                with _opened(path) as f, zipfile.ZipFile(f) as z:
+                    names = [n for n in z.namelist() if n.endswith(".json")][start : start + count]
+                    for i in range(0, len(names), 500):
+                        part = names[i : i + 500]
+                        yield pd.DataFrame({"archive": path, "member": part, "body": [z.read(n).decode("utf-8-sig") for n in part]})
+
+    # A fixed number: rows of a few bytes would be coalesced to one task, however much work they stand for.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = member_ranges(_archives(spark, root, prefixes).select("path"), most).repartition(tasks, "path", "start")
+    return dealt.mapInPandas(run, "archive string, member string, body string")
+
+
+def _archives(spark: SparkSession, root: str, prefixes: tuple[str, ...]) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
+    return files.where(F.substring(F.element_at(F.split("path", "/"), -1), 1, 3).isin(*prefixes))
+
+
+def unzipped_whole(spark: SparkSession, root: str, prefixes: tuple[str, ...], most: int = 500) -> DataFrame:
+    """unzipped() for a store that only Spark reads: one task a zip, which holds it whole; `most` members a batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -50,10 +107,7 @@ def unzipped(spark: SparkSession, root: str, prefixes: tuple[str, ...], most: in
                         part = names[i : i + most]
                         yield pd.DataFrame({"archive": path, "member": part, "body": [z.read(n).decode("utf-8-sig") for n in part]})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
-    name = F.element_at(F.split("path", "/"), -1)
-    chosen = files.where(F.substring(name, 1, 3).isin(*prefixes)).select("path", "content")
-    return chosen.mapInPandas(run, "archive string, member string, body string")
+    return _archives(spark, root, prefixes).select("path", "content").mapInPandas(run, "archive string, member string, body string")
 
 
 def _stem(path):
@@ -103,6 +157,7 @@ def read_arm(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_shards(rows: DataFrame, path: str, rows_per_file: int = 2000) -> None:
+    """Appends rows as they are; a job that may be run again commits waves instead, see waves.encode_into()."""
     rows.write.mode("append").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 

@@ -26,6 +26,22 @@ def test_zips(spark, tmp_path):
     assert [(r.id, r.text, r.author) for r in io.read_corpus_zips(spark, str(tmp_path)).collect()] == [("id-Training-TS", "긴 글", None)]
 
 
+def test_a_zip_is_read_by_many_tasks(spark, tmp_path):
+    """Ranges of members from the central directory; an archive's content is never a column; the same rows as reading it whole."""
+    with zipfile.ZipFile(tmp_path / "TL_x_y.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(300):
+            z.writestr(f"d/id-{i}.json" if i % 50 else f"d/skip-{i}.txt", record("dept", f"text {i} " * (i % 7)))
+    with zipfile.ZipFile(tmp_path / "TL_none.zip", "w") as z:
+        z.writestr("only.txt", "x")
+    cuts = sorted(map(tuple, io.member_ranges(io._archives(spark, str(tmp_path), ("TL_",)).select("path"), 3000).collect()))
+    assert len(cuts) > 10 and sum(n for _, _, n in cuts) == 294 and [s for _, s, _ in cuts] == [sum(n for _, _, n in cuts[:k]) for k in range(len(cuts))]
+    rows = io.unzipped(spark, str(tmp_path), ("TL_",), 3000)
+    assert "content" not in rows._jdf.queryExecution().executedPlan().toString()
+    by_task = rows.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("n")).collect()
+    assert len(by_task) > 3 and max(r.n for r in by_task) < 294
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, io.unzipped_whole(spark, str(tmp_path), ("TL_",)).collect()))
+
+
 def test_folder_with_byte_order_mark(spark, tmp_path):
     (tmp_path / "abc.json").write_text("﻿" + record("외과", "질문"), encoding="utf-8")
     row = io.read_qa_folder(spark, str(tmp_path)).first()
