@@ -24,8 +24,9 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
+    # The norm is the variable of an outer lambda, or it would be worked out again for each component.
     n = F.greatest(norm(v), F.lit(FLOOR))
-    return F.transform(v, lambda x: x / n)
+    return F.transform(F.array(n), lambda m: F.transform(v, lambda x: x / m))[0]
 
 
 def truncated(vectors: DataFrame, dims: list[int], v: str = "v") -> DataFrame:
