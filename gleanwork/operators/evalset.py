@@ -30,7 +30,7 @@ def stratified(rows: DataFrame, stratum: str, size: int, seed: int, key: str = "
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
     most = F.row_number().over(Window.partitionBy(stratum).orderBy("_o", key))
     drawn = rows.withColumn("_o", order).withColumn("_n", most).where(F.col("_n") <= size)
-    kept = drawn.join(F.broadcast(sizes), drawn[stratum].eqNullSafe(sizes[stratum])).where(F.col("_n") <= F.col("k")).drop(sizes[stratum])
+    kept = drawn.join(sizes, drawn[stratum].eqNullSafe(sizes[stratum])).where(F.col("_n") <= F.col("k")).drop(sizes[stratum])
     return kept.drop("_o", "_n", "k").orderBy(key).limit(size)
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gleanwork.functions.staging import shared_dir, staged
+from gleanwork.functions.text import clean_generated as strip_generated
 from gleanwork.functions.text import tokens as token_list
 from gleanwork.operators import chunking as C
 from gleanwork.operators import evalset as E
@@ -185,6 +186,18 @@ def semantic_chunks(spark, sf):
     return C.semantic(_documents(spark, sf), D.letter_encoder, "doc_id", threshold=0.6)
 
 
+_ANSWER = """case when conv_id % 3 = 0 then '"' || text || '"' when conv_id % 3 = 1 then ' ''' || text || '''' else text || chr(10) end"""
+
+
+@query(rf"""with a as (select conv_id, turn, {_ANSWER} as t from conversations), b as (select conv_id, turn, string_split(trim(trim(trim(t, e' \t\n\r'), '"'), ''''), chr(10))[1] as t from a)
+select conv_id, turn, trim(t, e' \t\n\r') as cleaned from b""")
+def clean_generated(spark, sf):
+    """Turns as a model's answers: some in quotes, some with blanks around them; the first line stays."""
+    n = F.col("conv_id") % 3
+    answer = F.when(n == 0, F.concat(F.lit('"'), "text", F.lit('"'))).when(n == 1, F.concat(F.lit(" '"), "text", F.lit("'"))).otherwise(F.concat("text", F.lit("\n")))
+    return X.table(spark, sf, "conversations").select("conv_id", "turn", strip_generated(answer).alias("cleaned"))
+
+
 _TURN = "turn as (select conv_id * 1000 + turn as id, text as content from conversations)"
 _ASKED = "asked as (select id, unnest(q) as question, generate_subscripts(q, 1)::int - 1 as question_index from (select id, list_filter(list_transform(string_split(content, '.'), lambda x: trim(x, e' \t\n\r')), lambda x: x <> '') as l, list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i])[1:3] as q from turn))"
 
