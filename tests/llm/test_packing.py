@@ -1,9 +1,10 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 from tokenizers import Tokenizer
 
-from gleanwork.llm.packing import OpenWindows, WordEncoder, byte_bpe, pack
+from gleanwork.llm.packing import OpenWindows, WordEncoder, byte_bpe, pack, packer
 
 
 def test_pieces_round_trip(docs, docs_rows):
@@ -39,6 +40,26 @@ def test_tightest_window():
                 known.remove(best)
 
 
+def test_whole_shard_against_plain_best_fit():
+    """The windows of a shard are filled as by a search of all open windows for each piece, the longest first."""
+    rng = np.random.default_rng(8)
+    for window, n in ((64, 400), (2048, 700), (16, 1)):
+        length = rng.integers(1, window + 1, n) if window > 64 else rng.choice([1, 2, 5, window // 2, window], n)
+        shard = pd.DataFrame({"doc_id": rng.integers(0, n, n), "start": 0, "length": length, "ids_crc32": rng.integers(0, 1 << 32, n), "doc_tokens": length, "shard": 3, "shards": 7})
+        got = packer(window)(shard)
+        free = []
+        for x in sorted(length.tolist(), reverse=True):
+            fits = [k for k, room in enumerate(free) if room >= x]
+            if fits:
+                free[min(fits, key=lambda k: free[k])] -= x
+            else:
+                free.append(window - x)
+        fill = got.groupby("sequence_id").length.sum()
+        assert sorted(fill) == sorted(window - room for room in free) and (got.sequence_id % 7 == 3).all() and len(got) == n
+        for _, own in got.sort_values("offset").groupby("sequence_id"):
+            assert own.offset.tolist() == [0, *np.cumsum(own.length)[:-1]]
+
+
 def test_words_as_the_library():
     from hypothesis import given, settings
     from hypothesis import strategies as st
