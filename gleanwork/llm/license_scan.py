@@ -2,9 +2,10 @@
 
 A text is made canonical by the rules below, in order: case, copyright lines, equivalent
 spellings, punctuation, white space. The SHA-256 of the whole canonical text is looked up
-among the digests of known licence texts by a hash join. Its lines are looked up in the
-same way, so a licence notice inside a document is found as well as a document that is
-nothing but a licence.
+among the digests of known licence texts by a hash join; in it a copyright notice also ends
+where a licence's first words begin, so neither its lines nor its wording matter. The lines are
+looked up in the same way, so a licence notice inside a document is found as well as a document
+that is nothing but a licence.
 
 Only digests move. While the known ones are at most BROADCAST_ROWS (checked) they are
 broadcast and no line is shuffled; beyond that both sides of the join are dealt by digest.
@@ -18,13 +19,14 @@ empty table gives no rows; other columns are ignored; very long texts are read w
 from __future__ import annotations
 
 import json
-import re
+import operator
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm.common import documents, table
+from gleanwork.llm.common import documents, staged, table
 
 #: Up to so many known digests (about 100 bytes each) are broadcast.
 BROADCAST_ROWS = 20_000
@@ -87,7 +89,7 @@ LICENSES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."),
+    ("GPL-1.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License."),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
     *((name, wording.format(called)) for name, names in NAMES.items() for called in names for wording in NOTICES),
     *whole_texts(),
@@ -107,37 +109,62 @@ SPELLINGS = {
     "whilst": "while", "wilfull": "willful", "wilful": "willful", "https": "http",
 }
 
-#: Rules of the canonical form, in order: (pattern, replacement). The text is lower case; lines end at \n.
+#: First words of licences that stand behind a copyright notice, and the length that a notice in front of them may have.
+OPENINGS = ["permission is hereby granted", "permission to use copy", "redistribution and use", "this software is provided as is"]
+NOTICE_LENGTH = 500
+_GAP = r"[^\p{L}\p{N}]+"
+#: A notice and the opening behind it, which stays. The text is lower case.
+NOTICE = rf"(?s)(?:(?:portions|parts|some) )?(?:copyright|\(c\)|©).{{0,{NOTICE_LENGTH}}}?({'|'.join(_GAP.join(x.split()) for x in OPENINGS)})"
+
+#: Rules of the canonical form, in order: (pattern, replacement, words of which a text that it matches has one). Lines end at \n.
 RULES = [
-    (r"[\r\t\x0B\f]", " "),
-    (r"all\s+rights\s+reserved", " "),
+    (r"[\r\t\x0B\f]", " ", ["\r", "\t", "\x0b", "\f"]),
+    (r"all\s+rights\s+reserved", " ", ["reserved"]),
     # Lines that are a copyright notice: the word or sign with a year, a sign or a blank for it. Without, they are words of a licence.
-    (r"(^|\n)[^\p{L}\p{N}\n]*((?:portions |parts |some )?copyright[^\p{L}\p{N}\n]*(?:c\)|©|[0-9]{4}|yyyy|year)|c\)[^\p{L}\p{N}\n]*(?:copyright|[0-9]{4})|©)[^\n]*", r"\1"),
-    *SPELLINGS.items(),
-    (r"copyright\s+owner", "copyright holder"),
-    (r"sub\s+license", "sublicense"),
-    (r"per\s+cent", "percent"),
+    (r"(^|\n)[^\p{L}\p{N}\n]*((?:portions |parts |some )?copyright[^\p{L}\p{N}\n]*(?:c\)|©|[0-9]{4}|yyyy|year)|c\)[^\p{L}\p{N}\n]*(?:copyright|[0-9]{4})|©)[^\n]*", r"\1", ["copyright", "c)", "©"]),
+    *((a, b, [a]) for a, b in SPELLINGS.items()),
+    (r"copyright\s+owner", "copyright holder", ["owner"]),
+    (r"sub\s+license", "sublicense", ["license"]),
+    (r"per\s+cent", "percent", ["cent"]),
     # Letters of every script stay, so that a notice in a text of another language is not the whole text.
-    (r"[^\p{L}\p{N}\n]+", " "),
+    (r"[^\p{L}\p{N}\n]+", " ", []),
 ]
 
 
-def canonical_lines(text: Column) -> Column:
-    """The canonical text with its line breaks."""
-    out = F.lower(text)
-    for pattern, by in RULES:
-        plain = pattern in SPELLINGS
-        out = F.replace(out, F.lit(pattern), F.lit(by)) if plain else F.regexp_replace(out, pattern, by.replace(r"\1", "$1"))
+def _where_any(text: Column, words: list[str], change) -> Column:
+    """change(text) where text has one of the words: looking for a word costs a small part of replacing it."""
+    either = lambda x: reduce(operator.or_, (F.contains(x, F.lit(w)) for w in words))
+    return F.transform(F.array(text), lambda x: F.when(either(x), change(x)).otherwise(x))[0]
+
+
+def _spelled(text: Column) -> Column:
+    pairs = F.array(*(F.struct(F.lit(a).alias("of"), F.lit(b).alias("by")) for a, b in SPELLINGS.items()))
+    return F.aggregate(pairs, text, lambda t, p: F.when(F.contains(t, p["of"]), F.replace(t, p["of"], p["by"])).otherwise(t))
+
+
+def canonical_lines(lower: Column) -> Column:
+    """The canonical text of a lower-case one, with its line breaks."""
+    out, spelled = lower, False
+    for pattern, by, words in RULES:
+        change = lambda x, pattern=pattern, by=by: F.regexp_replace(x, pattern, by.replace(r"\1", "$1"))
+        if pattern not in SPELLINGS:
+            out = _where_any(out, words, change) if words else change(out)
+        elif not spelled:
+            out, spelled = _spelled(out), True
     return out
 
 
-def whole(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+def canonical_whole(lower: Column, lines: Column) -> Column:
+    """The canonical text without line breaks and without notices before an opening; lines is canonical_lines(lower)."""
+    flat = lambda x: F.trim(F.regexp_replace(x, "[ \n]+", " "))
+    opened = reduce(operator.or_, (F.contains(lower, F.lit(x.split()[0])) for x in OPENINGS)) & lower.rlike(NOTICE)
+    return F.when(opened, flat(canonical_lines(F.regexp_replace(lower, NOTICE, "$1")))).otherwise(flat(lines))
 
 
 def known_digests(licenses: DataFrame) -> DataFrame:
     """(digest, license) of licenses (license, text)."""
-    forms = licenses.select("license", whole(canonical_lines(F.col("text"))).alias("form")).where("form != ''")
+    texts = licenses.select("license", F.lower("text").alias("text"))
+    forms = texts.select("license", canonical_whole(F.col("text"), canonical_lines(F.col("text"))).alias("form")).where("form != ''")
     return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"))
 
 
@@ -147,13 +174,14 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
     license is the licence that the whole text is, else null; n_license_lines counts the
     distinct lines that are known by themselves, line_licenses has their names, comma-joined.
     """
-    known = known_digests(licenses)
+    known = staged(known_digests(licenses), "known-licenses")
     if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    forms = documents(docs).select("doc_id", canonical_lines(F.col("text")).alias("form"))
+    lower = documents(docs).select("doc_id", F.lower("text").alias("text"))
+    forms = lower.select("doc_id", "text", canonical_lines(F.col("text")).alias("form"))
     lines = F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     # The whole text's digest is made before its lines are rows, so once a document.
-    digests = forms.select("doc_id", F.sha2(whole(F.col("form")), 256).alias("digest"), F.array_distinct(F.transform(lines, lambda x: F.sha2(x, 256))).alias("lines"))
+    digests = forms.select("doc_id", F.sha2(canonical_whole(F.col("text"), F.col("form")), 256).alias("digest"), F.array_distinct(F.transform(lines, lambda x: F.sha2(x, 256))).alias("lines"))
     rows = digests.select("doc_id", "digest", F.explode_outer("lines").alias("line"))
     hits = rows.join(known.select(F.col("digest").alias("line"), F.col("license").alias("of_line")), "line", "left")
     per = hits.groupBy("doc_id", "digest").agg(F.size(F.collect_set(F.when(F.col("of_line").isNotNull(), F.col("line")))).cast("long").alias("n_license_lines"), F.array_join(F.sort_array(F.collect_set("of_line")), ",").alias("line_licenses"))
@@ -161,7 +189,7 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"license": n, "text": t} for n, t in LICENSES])), "array<struct<license: string, text: string>>")))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"license": n, "text": t} for n, t in LICENSES])), "array<struct<license: string, text: string>>"))).repartition(16)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,16 +200,16 @@ def _sql() -> str:
     """The same in SQL over the table documents."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     form = lambda c: (
-        "".join("regexp_replace(" for _ in RULES) + f"lower({c})" + "".join(f", {quote(p)}, {quote(by)}, 'g')" for p, by in RULES)
+        "".join("regexp_replace(" for _ in RULES) + c + "".join(f", {quote(p)}, {quote(by)}, 'g')" for p, by, _ in RULES)
     )
-    flat = lambda c: f"trim(regexp_replace({c}, '[ \n]+', ' ', 'g'))"
+    flat = lambda c: "trim(regexp_replace(" + form(f"regexp_replace(lower({c}), {quote(NOTICE)}, '\\1', 'g')") + ", '[ \n]+', ' ', 'g'))"
     listed = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in LICENSES)
     return f"""
 with listed(license, txt) as (values {listed}),
-known as (select sha256({flat(form('txt'))}) as digest, min(license) as license from listed where {flat(form('txt'))} <> '' group by 1),
-forms as (select doc_id, {form("coalesce(text, '')")} as form from documents),
-whole as (select distinct doc_id, sha256({flat('form')}) as digest from forms),
-lines as (select distinct doc_id, sha256({flat('form')}) as digest, sha256(trim(line)) as line from (select doc_id, form, unnest(string_split(form, chr(10))) as line from forms) where trim(line) <> ''),
+known as (select sha256(f) as digest, min(license) as license from (select license, {flat('txt')} as f from listed) where f <> '' group by 1),
+forms as (select doc_id, {form("lower(coalesce(text, ''))")} as form, sha256({flat("coalesce(text, '')")}) as digest from documents),
+whole as (select distinct doc_id, digest from forms),
+lines as (select distinct doc_id, digest, sha256(trim(line)) as line from (select doc_id, digest, unnest(string_split(form, chr(10))) as line from forms) where trim(line) <> ''),
 hits as (select l.doc_id, l.digest, count(*) as n, string_agg(distinct k.license, ',' order by k.license) as names from lines l join known k on l.line = k.digest group by 1, 2)
 select w.doc_id, w.digest, k.license, coalesce(h.n, 0) as n_license_lines, coalesce(h.names, '') as line_licenses
 from whole w left join known k using (digest) left join hits h on h.doc_id = w.doc_id and h.digest = w.digest

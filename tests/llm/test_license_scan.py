@@ -1,3 +1,4 @@
+import re
 from pathlib import Path
 
 from gleanwork.llm import license_scan as L
@@ -72,7 +73,7 @@ def test_copyright_lines_behind_marks(spark):
     con.executemany("insert into documents values (?, ?)", list(enumerate(rows)))
     assert {r[0]: r[2] for r in con.execute(L.ORACLE).fetchall()} == got
     # A line of words before the sign is no copyright line.
-    left = [r.x for r in spark.createDataFrame([("see © 2020\n© y",), ("été © x",)], "t string").select(L.canonical_lines(L.F.col("t")).alias("x")).collect()]
+    left = [r.x for r in spark.createDataFrame([("see © 2020\n© y",), ("été © x",)], "t string").select(L.canonical_lines(L.F.lower("t")).alias("x")).collect()]
     assert [x.split() for x in left] == [["see", "2020"], ["été", "x"]]
 
 
@@ -106,3 +107,29 @@ def test_every_whole_text_in_other_clothes(spark):
     want[len(rows) - 1] = "MIT"
     got = {r.doc_id: r.license for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string"), L.known_licenses(spark)).collect()}
     assert {i: (n, got[i]) for i, n in want.items() if got[i] != n} == {}
+
+
+def test_notices_of_any_wording(spark):
+    """On one line with its title, without a year, over two lines, in front of the text: for every short licence."""
+    import duckdb
+
+    texts = {name: (Path(L.__file__).parent / "licenses" / f"{name}.txt").read_text(encoding="utf-8") for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "MIT-0", "Zlib")}
+    rows, want = [], []
+    for name, text in texts.items():
+        starts = [re.search(r"\s+".join(x.split()), text, re.I) for x in ("Permission is hereby", "Permission to use", "Redistribution and use", "This software is provided")]
+        body = text[min(m.start() for m in starts if m) :]
+        title = L.TITLES[name][0]
+        rows += [f"{title} Copyright (c) 2020 A. Holder {' '.join(body.split())}", f"Copyright (c) 2020 A. Holder. {' '.join(body.split())}", f"Copyright A. Holder and contributors\n\n{body}", f"Copyright (c) 2020 A. Holder,\nB. Holder <b@holder.org>\nand others\n\n{body}", f"{title}\n\n(c) A. Holder\n{body}", f"My notes.\nCopyright A. Holder\n{body}", f"{body} Copyright A. Holder"]
+        want += [name] * 5 + [None] * 2
+    got = {r.doc_id: r.license for r in L.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), L.known_licenses(spark)).collect()}
+    assert {i: (w, got[i], rows[i][:60]) for i, w in enumerate(want) if got[i] != w} == {}
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(rows)))
+    assert {r[0]: r[2] for r in con.execute(L.ORACLE).fetchall()} == got
+
+
+def test_a_notice_does_not_hide_a_line(spark):
+    rows = [(1, "Copyright A. Holder\nReleased under the MIT License.\nPermission to use, copy and sell it."), (2, "On copyright.\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."), (3, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.")]
+    got = {r.doc_id: r.line_licenses for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string"), L.known_licenses(spark)).collect()}
+    assert got == {1: "MIT", 2: "0BSD", 3: "GPL-1.0-or-later"}
