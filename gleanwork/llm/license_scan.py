@@ -63,6 +63,7 @@ TITLES = {
     "MIT-0": ["MIT No Attribution"],
     "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
     "Unlicense": ["The Unlicense"],
+    "Unicode-3.0": ["UNICODE LICENSE V3"],
 }
 _END = "END OF TERMS AND CONDITIONS"
 
@@ -157,7 +158,7 @@ def canonical_lines(lower: Column) -> Column:
 def canonical_whole(lower: Column, lines: Column) -> Column:
     """The canonical text without line breaks and without notices before an opening; lines is canonical_lines(lower)."""
     flat = lambda x: F.trim(F.regexp_replace(x, "[ \n]+", " "))
-    opened = reduce(operator.or_, (F.contains(lower, F.lit(x.split()[0])) for x in OPENINGS)) & lower.rlike(NOTICE)
+    opened = reduce(operator.or_, (F.contains(lower, F.lit(w)) for w in ("copyright", "(c)", "©"))) & lower.rlike(NOTICE)
     return F.when(opened, flat(canonical_lines(F.regexp_replace(lower, NOTICE, "$1")))).otherwise(flat(lines))
 
 
