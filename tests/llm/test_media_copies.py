@@ -150,6 +150,21 @@ def test_matches_by_parts_are_those_of_all_pairs(monkeypatch):
     assert len(full) >= 250 and set(zip(*map(np.ndarray.tolist, M._near(a, b)), strict=True)) == full
 
 
+def test_many_corners_match_by_the_same_rule_as_few():
+    """Over MATRIX pairs, at every distance up to two over DISTANCE: all matches, as each row's own comparison gives them."""
+    from gleanwork.llm import media_copies as M
+
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 256, (1100, M.BITS // 8), dtype=np.uint8)
+    flips = np.zeros((1000, M.BITS), dtype=np.uint8)
+    for k, row in enumerate(flips):
+        row[rng.permutation(M.BITS)[: k % (M.DISTANCE + 3)]] = 1
+    b = a[:1000] ^ np.packbits(flips, axis=1)
+    assert len(a) * len(b) > M.MATRIX
+    true = [(i, j) for i, row in enumerate(a) for j in np.flatnonzero(np.bitwise_count(row ^ b).sum(axis=1) <= M.DISTANCE)]
+    assert len(true) >= 890 and list(zip(*map(np.ndarray.tolist, M._near(a, b)), strict=True)) == true
+
+
 def test_other_columns_are_ignored(spark):
     noise = np.random.default_rng(0).integers(0, 256, 96 * 96, dtype=np.uint8).tobytes()
     rows = [(1, 96, 96, noise, 5, "x", 7), (2, 96, 96, noise, 6, None, 8)]
