@@ -10,7 +10,7 @@ bits name (22 rows at 6 bits, 211 at 20), and only there, in the memory of a tas
 bits make its variants. A part with over PART fingerprints is divided by the next bits in the same way, again
 and again, so a cluster of close fingerprints, which any leading bits leave together, ends in many parts.
 
-A task sorts the variants of a part; neighbours of one variant are pairs, which are deduplicated, verified
+A task makes and sorts the variants of a part in slices; neighbours of one variant are pairs, which are deduplicated, verified
 by their differing bits, and reduced to a link for each fingerprint of a local component: as many links as
 fingerprints, however large a group, and none between different texts is lost, since links are only left out
 where others connect the same fingerprints. components() then joins all parts.
@@ -40,8 +40,8 @@ from gleanwork.llm.components import components
 SHINGLE, SEED, RADIUS, BITS = 4, 42, 4, 64
 #: Fingerprints of a part, on average at first and at most before it is divided; bits of a further division.
 EACH, PART, MORE = 2048, 8192, 6
-#: Bytes of text, and shingles, that are held at once.
-TEXT, HELD = 1_000_000, 1 << 16
+#: Bytes of text, shingles, and variants (about) that are held at once.
+TEXT, HELD, SORTED = 1_000_000, 1 << 16, 1 << 20
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -107,23 +107,37 @@ def _roots(pairs: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
+def _code(x: np.ndarray, slices: int) -> np.ndarray:
+    """A number under `slices`, a power of two, for each of x; that of x ^ y is the one of x ^ that of y."""
+    out = np.zeros(len(x), dtype=np.int64)
+    for b in range(BITS):
+        if b % slices:
+            out ^= (x >> U64(b) & U64(1)).astype(np.int64) * (b % slices)
+    return out
+
+
 def _met(part: pd.DataFrame, used: int, radius: int) -> pd.DataFrame:
-    """Links (a, b) between the fingerprints of a part that share a variant, as many as connect them."""
-    own, variants, owners = np.unique(part["print"].to_numpy()), [], []
-    own_of = np.searchsorted(own, part["print"].to_numpy())
-    for left in range(radius + 1):
-        rows = np.flatnonzero(part["left"].to_numpy() == left)
-        masks = np.array([m for m, _ in _masks(0, BITS - used, left)], dtype=U64)
-        variants.append((part["variant"].to_numpy()[rows].view(U64)[:, None] ^ masks).ravel())
-        owners.append(np.repeat(own_of[rows].astype(np.int32), len(masks)))
-    variant, owner = np.concatenate(variants), np.concatenate(owners)
-    order = np.argsort(variant)
-    variant, owner = variant[order], owner[order]
-    same = np.flatnonzero(variant[1:] == variant[:-1])
-    pairs = np.unique(owner[same].astype(np.int64) * len(own) + owner[same + 1])
-    pairs = np.stack([pairs // len(own), pairs % len(own)], axis=1)
-    bits = np.bitwise_count(own[pairs[:, 0]].view(U64) ^ own[pairs[:, 1]].view(U64))
-    root = _roots(pairs[bits <= 2 * radius], len(own))
+    """Links (a, b) between the fingerprints of a part that share a variant, as many as connect them.
+
+    Variants are made and sorted in slices of about SORTED: a slice has all variants of one _code()."""
+    own, variant = np.unique(part["print"].to_numpy()), part["variant"].to_numpy().view(U64)
+    own_of, left_of = np.searchsorted(own, part["print"].to_numpy()).astype(np.int32), part["left"].to_numpy()
+    masks = [np.array([m for m, _ in _masks(0, BITS - used, left)], dtype=U64) for left in range(radius + 1)]
+    slices = 1 << min(6, (sum(len(m) * int((left_of == left).sum()) for left, m in enumerate(masks)) // SORTED).bit_length())
+    row_code, mask_code = _code(variant, slices), [_code(m, slices) for m in masks]
+    rows = [[np.flatnonzero((left_of == left) & (row_code == c)) for c in range(slices)] for left in range(radius + 1)]
+    root = np.arange(len(own))
+    for at in range(slices):
+        met = [(i, m[mask_code[left] == c ^ at]) for left, m in enumerate(masks) for c, i in enumerate(rows[left])]
+        variants = np.concatenate([(variant[i][:, None] ^ m).ravel() for i, m in met])
+        owners = np.concatenate([np.repeat(own_of[i], len(m)) for i, m in met])
+        order = np.argsort(variants)
+        variants, owners = variants[order], owners[order]
+        same = np.flatnonzero(variants[1:] == variants[:-1])
+        pairs = np.unique(owners[same].astype(np.int64) * len(own) + owners[same + 1])
+        pairs = np.stack([pairs // len(own), pairs % len(own)], axis=1)
+        bits = np.bitwise_count(own[pairs[:, 0]].view(U64) ^ own[pairs[:, 1]].view(U64))
+        root = _roots(np.concatenate([np.stack([root, np.arange(len(own))], axis=1), pairs[bits <= 2 * radius]]), len(own))
     linked = np.flatnonzero(root != np.arange(len(own)))
     return pd.DataFrame({"a": own[root[linked]], "b": own[linked]})
 

@@ -80,6 +80,32 @@ def test_balls_against_all_pairs(spark, radius, each, most):
     assert joined(signed, links) == joined(signed, true)
 
 
+def test_a_full_part_takes_little_memory():
+    """As many fingerprints as a part may have, half of them close, a quarter in pairs: made and sorted in slices, with the links of all pairs."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from gleanwork.llm import simhash as S
+
+    rng = np.random.default_rng(1)
+    flipped = np.full(S.PART, 12345678901234, dtype=np.uint64)
+    flipped[S.PART // 2 :] = np.repeat(rng.integers(0, 1 << 58, S.PART // 4, dtype=np.uint64), 2)
+    for _ in range(3):
+        flipped ^= np.uint64(1) << rng.integers(0, 58, S.PART).astype(np.uint64)
+    part = pd.DataFrame({"print": flipped.view(np.int64), "variant": flipped.view(np.int64), "left": 2})
+    tracemalloc.start()
+    links = S._met(part, 6, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20, peak
+    own = np.unique(flipped)
+    low, high = np.nonzero(np.triu(np.bitwise_count(own[:, None] ^ own) <= 4, 1))
+    true = joined(own.view(np.int64).tolist(), zip(own[low].view(np.int64).tolist(), own[high].view(np.int64).tolist(), strict=True))
+    assert len(set(true.values())) > S.PART // 4 and joined(own.view(np.int64).tolist(), links[["a", "b"]].itertuples(index=False)) == true
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
