@@ -33,8 +33,8 @@ END_ID = 1
 SHARD_DOCS = 2000
 #: Encoded words that a worker remembers at most twice over: the latest, and those before them that came again.
 MEMO = 250_000
-#: Bytes of text that are encoded at once.
-TEXT = 1_000_000
+#: Bytes of text that are encoded at once, and new words.
+TEXT, JOINED = 1_000_000, 50
 
 _memos: dict = {}
 
@@ -46,16 +46,28 @@ class WordEncoder:
     two visible characters, so such a text's ids are those of its words in order. A text
     with any other white space goes to the tokenizer whole. When `most` words are
     remembered they become the old ones, and of these only what comes again is kept.
+    New words are encoded as texts of JOINED words: in them just the first token of a word
+    starts with a space or line break, so the ids fall apart again where such a token is.
     """
 
     def __init__(self, path: str, most: int = MEMO):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.memo, self.old = Tokenizer.from_file(path), most, {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.starts[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True  # the byte-level letters of both
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Of words that each begin with a space or line break and have no other."""
+        joined = self._encode(["".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)])
+        data = b"".join(joined)
+        begin = (4 * np.flatnonzero(self.starts[np.frombuffer(data, dtype=np.uint32)])).tolist()
+        return [data[i:j] for i, j in zip(begin, [*begin, len(data)][1:], strict=True)]
+
     @staticmethod
     def words(text: str) -> list[str] | None:
         """The words, the first with \\r in front, those after a line break with it; None if some white space is not one space or line break."""
@@ -71,10 +83,13 @@ class WordEncoder:
         memo, old = self.memo, self.old
         need = set().union(*filter(None, split)).difference(memo)
         memo.update([(w, old[w]) for w in need if w in old])
-        new = list(need.difference(old))
-        memo.update(zip(new, self._encode([w[1:] if w[0] == "\r" else w if w[0] == "\n" else " " + w for w in new]), strict=True))
+        new = need.difference(old)
+        first = [w for w in new if w[0] == "\r"]
+        memo.update(zip(first, self._encode([w[1:] for w in first]), strict=True))
+        new = list(new.difference(first))
+        memo.update(zip(new, self._encode_words([w if w[0] == "\n" else " " + w for w in new]), strict=True))
         whole = iter(self._encode([t for t, s in zip(texts, split, strict=True) if s is None]))
-        return [b"".join([memo[w] for w in s]) if s is not None else next(whole) for s in split]
+        return [b"".join(map(memo.__getitem__, s)) if s is not None else next(whole) for s in split]
 
 
 def encoder(path: str) -> WordEncoder:

@@ -72,3 +72,14 @@ def test_words_as_the_library():
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
     same()
+
+
+def test_new_words_are_encoded_together():
+    """Not one by one, and their ids fall apart as the library gives them, among them words with special tokens, bytes and line breaks."""
+    enc, tok, calls = WordEncoder(byte_bpe()), Tokenizer.from_file(byte_bpe()), []
+    encode = enc._encode
+    enc._encode = lambda texts: calls.append(len(texts)) or encode(texts)
+    texts = [" ".join(f"wörd{i}'s<|endoftext|>{i}\n\u00e9{i * i},x" for i in range(k, k + 500)) for k in (0, 250)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert sum(calls) < 100
