@@ -29,8 +29,12 @@ def ranges(rows: int, lengths: Sequence[int], most: int) -> Iterator[tuple[int,
 
 
 def lists(batches: Iterator[pa.RecordBatch], read: Sequence[str], text: str | None = None, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
-    """Slices of the batches with their `read` columns as lists; a slice has at most `most` bytes of the column text."""
+    """Slices of the batches with their `read` columns as lists; a slice has at most `most` bytes of the column text.
+
+    After each batch Arrow gives back what it keeps of earlier ones, since workers stay, idle or busy, while other stages run.
+    """
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         if text is None:
             cuts = [(0, batch.num_rows)]
         else:
@@ -38,6 +42,8 @@ def lists(batches: Iterator[pa.RecordBatch], read: Sequence[str], text: str | No
         for i, j in cuts:
             part = batch.slice(i, j - i)
             yield part, [part.column(c).to_pylist() for c in read]
+    batch = part = None
+    pa.default_memory_pool().release_unused()
 
 
 def with_made(rows: DataFrame, made: str, read: Sequence[str], start: Callable[[], Callable[..., Sequence[Sequence]]], text: str | None = None, most: int = 1_000_000) -> DataFrame:

@@ -89,3 +89,16 @@ def test_rejects(spark):
     rows = spark.createDataFrame([(1, "food"), (2, "toys"), (3, None)], "id int, category string")
     got = P.rejects(rows, {"category": F.col("category").isin("food", "care"), "id": F.col("id") < 3}).collect()
     assert [r.broken for r in got] == ["", "category", "category,id"]
+
+
+def test_lists_give_arrow_memory_back(monkeypatch):
+    """What Arrow keeps of a batch is given back before the next one is read, and after the last."""
+    import pyarrow as pa
+
+    from gleanwork.functions import batches
+
+    seen, pool = [], pa.default_memory_pool()
+    monkeypatch.setattr(batches.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: (seen.append("back"), pool.release_unused())})())
+    read = (seen.append("read") or pa.RecordBatch.from_arrays([pa.array(["a b", None, "c"])], names=["text"]) for _ in range(2))
+    assert [t for _, (t,) in batches.lists(read, ["text"], "text", 4)] == [["a b", None, "c"]] * 2
+    assert seen == ["read", "back", "read", "back", "back"]
