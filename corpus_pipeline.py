@@ -15,12 +15,22 @@ from gleanwork.llm.packing import byte_bpe, pack
 from gleanwork.llm.secret_scan import redact
 from gleanwork.llm.toxicity import reject
 
+#: Rows that go to a Python worker at once: texts are long, and the JVM holds a batch outside its heap.
+BATCH_ROWS = 1000
 #: Up to so many ids with the hash of their text (16 bytes) are broadcast.
 BROADCAST_IDS = 500_000
 
 
+def _batched(docs: DataFrame) -> DataFrame:
+    """docs, in a session that sends BATCH_ROWS rows at once to Python at most."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:  # 0 and less: no limit
+        conf.set(key, BATCH_ROWS)
+    return docs
+
+
 def _named(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null")
+    return _batched(docs).where("doc_id is not null")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +70,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per packed piece."""
-    return pack(docs, byte_bpe())
+    return pack(_batched(docs), byte_bpe())
 
 
 STAGES = [

@@ -53,3 +53,16 @@ def test_a_doc_id_with_two_texts_keeps_both(spark):
     rows = [(1, text), (7, text.replace("w3 ", "z ")), (7, "quite other words " * 30), (7, "quite other words " * 30)]
     kept = P.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, text), (7, rows[2][1])]
+
+
+def test_few_rows_go_to_python_at_once(spark):
+    key, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    before = spark.conf.get(key)
+    try:
+        for given, held in (("10000", P.BATCH_ROWS), ("0", P.BATCH_ROWS), ("-1", P.BATCH_ROWS), ("7", 7)):
+            for stage in (P.hide_secrets, P.pack_windows):
+                spark.conf.set(key, given)
+                stage(spark, docs, "")
+                assert int(spark.conf.get(key)) == held
+    finally:
+        spark.conf.set(key, before)
