@@ -170,3 +170,59 @@ def test_other_columns_are_ignored(spark):
     rows = [(1, 96, 96, noise, 5, "x", 7), (2, 96, 96, noise, 6, None, 8)]
     got = copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary, class long, digest string, node long"))
     assert sorted((r.image_id, r.class_id, r.component_id) for r in got.collect()) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_keys_meet_in_few_bytes_and_none_is_lost(spark, monkeypatch):
+    """The pairs of classes that share a key are those of all codes, held as sets; a key takes under 6 bytes on its way."""
+    import pandas as pd
+
+    from gleanwork.llm import media_copies as M
+
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 256, (150, M.BITS // 8), dtype=np.uint8)
+    bits = {n: np.concatenate([base[rng.permutation(150)[: rng.integers(0, 40)]], rng.integers(0, 256, (60, M.BITS // 8), dtype=np.uint8)]) for n in range(7, 107)}
+    bits[200] = np.zeros((0, M.BITS // 8), np.uint8)
+    drawn = M._drawn()
+    of = {n: {(t, c) for row in np.unpackbits(b, axis=1) @ drawn for t, c in enumerate(row.tolist())} for n, b in bits.items()}
+    true = {(n, m): k for n in of for m in of if n < m and (k := len(of[n] & of[m]))}
+    rows = [(n, b.tobytes()) for n, b in bits.items()]
+    monkeypatch.setattr(M, "BUCKET", 1000)
+    monkeypatch.setattr(M, "CORNERS", 3000)
+    lists = M.shared_keys(spark.createDataFrame([*rows, rows[0]], "class long, bits binary").repartition(3)).toPandas()
+    assert not lists.duplicated().any()
+    met = lists.merge(lists, on="key").query("node_x < node_y").groupby(["node_x", "node_y"]).size()
+    assert len(true) > 2000 and met.to_dict() == true
+    monkeypatch.setattr(M, "CORNERS", 200_000)
+    dealt = list(M._dealt(iter([pd.DataFrame(rows, columns=["class", "bits"])]), 16))
+    assert sum(len(x) for d in dealt for c in ("nodes", "sizes", "tokens") for x in d[c]) < 6 * sum(map(len, of.values()))
+
+
+def test_slices_of_pairs_and_no_shuffle_files_stay(spark, monkeypatch):
+    """Corners that go to their pairs in many slices give the same copies, and the steps leave no shuffle files behind."""
+    import os
+    import time
+
+    from gleanwork.llm import media_copies as M
+
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        return {os.path.basename(files.apply(k).getPath()) for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    rng = np.random.default_rng(22)
+    pictures = mosaics(12, rng, SIDE, CELLS)
+    images = frame(spark, [*pictures, *(edited(p, rng)["crop"] for p in pictures[:8])])
+    want = {r.image_id: r.component_id for r in copies(images).collect()}
+    assert [want[12 + k] for k in range(8)] == list(range(8))
+    monkeypatch.setattr(M, "MOVED", 20_000)
+    before = shuffled()
+    keys = {k: spark.conf.get(k, None) for k in M.SETTINGS}
+    got = copies(images)
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert {k: spark.conf.get(k, None) for k in M.SETTINGS} == keys
+    assert {r.image_id: r.component_id for r in got.collect()} == want
