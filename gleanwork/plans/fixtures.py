@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanwork.functions.staging import staged
 from gleanwork.functions.vectors import doubles, truncated, unit
 from gleanwork.operators.profile import full_rows, normalized
 from gleanwork.operators.ranking import gold_texts, known_item_ranks
@@ -96,11 +97,11 @@ EV = "ev as (select vec_id as answer_id, 'q' || (vec_id // 90) || '-' || label a
 
 
 def ranks(spark: SparkSession, sf: str, names: list[str] | None = None) -> DataFrame:
-    """(arm, qid, gold, rank) of the three arms, or those of these names, with twins taken out."""
+    """(arm, qid, gold, rank) of the three arms, or those of these names, with twins taken out; a stage table, since queries read it several times."""
     docs, queries = arms(spark, sf)
     if names is not None:
         docs, queries = docs.where(F.col("arm").isin(*names)), queries.where(F.col("arm").isin(*names))
-    return known_item_ranks(queries, docs, by=("arm",), texts=gold_texts(evalset(spark, sf)))
+    return staged(known_item_ranks(queries, docs, by=("arm",), texts=gold_texts(evalset(spark, sf))), "ranks")
 
 
 RANKS = f"""{ARMS}, {EV},
