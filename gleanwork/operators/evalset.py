@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanwork.functions.staging import staged
 from gleanwork.functions.text import strip
 
 
@@ -54,17 +55,16 @@ def round_trip(chunks: DataFrame, generator: Callable[[Column], Column], factory
     """(id, question_index, question) of the generated questions that find their own chunk first among all chunks (id, content).
 
     Questions are made and deduplicated inside their chunk, encoded, and searched; chunks stay where they lie. Of equally
-    similar chunks the smaller id is first.
+    similar chunks the smaller id is first. Questions and chunks are generated and encoded once, as stage tables.
     """
     from gleanwork.operators.models import vectors
-    from gleanwork.operators.ranking import top_k
-
-    asked = generated_questions(chunks.select("id", text), generator, text, most).select("id", "question_index", "question")
-    key = F.concat_ws(":", F.col("id").cast("string"), "question_index")
-    queries = vectors(asked.withColumn("qid", key), factory, "question", ["qid"])
-    first = top_k(queries, vectors(chunks, factory, text, ["id"]), 1).select("qid", F.col("id").alias("found"))
-    own = asked.withColumn("qid", key).join(first, "qid")
-    return own.where("id = found").select("id", "question_index", "question")
+    from gleanwork.operators.ranking import firsts
+
+    named = chunks.where("id is not null").select("id", text)
+    asked = staged(generated_questions(named, generator, text, most).select("id", "question_index", "question"), "questions")
+    queries = vectors(asked.withColumn("gold", F.col("id")), factory, "question", ["question_index", "gold"])
+    found = firsts(queries, staged(vectors(named, factory, text, ["id"]), "chunks"), ["question_index"]).withColumnRenamed("gold", "id")
+    return asked.join(found, ["id", "question_index"], "left_semi")
 
 
 def remaining(items: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
