@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,32 +70,37 @@ def verdict(lo: Column, hi: Column) -> Column:
     return F.when((lo <= 0) & (hi >= 0), "no difference").when(lo > 0, "other better").otherwise("base better")
 
 
+#: Queries of a comparison that one seeded generator draws from, a task a comparison; beyond them use bootstrap().
+EXACT_MOST = 5_000_000
+#: Draws that are held at once.
+DRAWN = 4_000_000
+
+
+def _drawn_means(n: np.ndarray, d: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """The mean of d in each multinomial draw of n.sum() of it; about DRAWN counts are held at once."""
+    rng, each = np.random.default_rng(seed), max(1, DRAWN // len(n))
+    return np.concatenate([rng.multinomial(n.sum(), n / n.sum(), size=min(each, resamples - at)) @ d / n.sum() for at in range(0, resamples, each)])
+
+
 def bootstrap(pairs: DataFrame, resamples: int = 2000, seed: int = 42) -> DataFrame:
     """(base_arm, arm, lo, hi, verdict): 95 % interval of the mean difference of 1/rank.
 
     pairs (base_arm, arm, rank, base_rank). A resample depends on the queries only through how often each
     pair of ranks is drawn, so it is one multinomial draw over the distinct pairs: the cost is
-    that of the distinct pairs, not of the queries, and comparisons do not touch each other.
+    that of the distinct pairs, not of the queries, and comparisons do not touch each other. Draws are made in blocks of resamples.
     """
     grouped = pairs.groupBy("base_arm", "arm", "rank", "base_rank").agg(F.count("*").alias("n"))
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["rank", "base_rank"])
         n, d = rows["n"].to_numpy(), (1 / rows["rank"] - 1 / rows["base_rank"]).to_numpy()
-        means = np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), size=resamples) @ d / n.sum()
-        lo, hi = np.percentile(means, [2.5, 97.5])
+        lo, hi = np.percentile(_drawn_means(n, d, resamples, seed), [2.5, 97.5])
         return pd.DataFrame({"base_arm": [rows["base_arm"].iloc[0]], "arm": [rows["arm"].iloc[0]], "lo": [lo], "hi": [hi]})
 
     out = grouped.groupBy("base_arm", "arm").applyInPandas(draw, "base_arm string, arm string, lo double, hi double")
     return out.withColumn("verdict", verdict(F.col("lo"), F.col("hi")))
 
 
-#: Queries of a comparison that one seeded generator draws from, a task a comparison; beyond them use bootstrap().
-EXACT_MOST = 5_000_000
-#: Draws that are held at once.
-DRAWN = 4_000_000
-
-
 def bootstrap_exact(pairs: DataFrame, resamples: int = 2000, seed: int = 42) -> DataFrame:
     """bootstrap() by plain index resampling in the order of gold, with a generator of this seed for each comparison.
 
@@ -120,16 +128,28 @@ def bootstrap_exact(pairs: DataFrame, resamples: int = 2000, seed: int = 42) ->
 def hash_bootstrap(pairs: DataFrame, resamples: int = 2000) -> DataFrame:
     """bootstrap() with draws that SQL can repeat: query j of resample r is the one at md5(r:j) mod n in the order of gold.
 
-    pairs (base_arm, arm, gold, rank, base_rank). A comparison's differences are one array, and a resample is one
-    row that sums them up; nothing is joined, and no row is made for a draw.
+    pairs (base_arm, arm, gold, rank, base_rank). A comparison's differences are one array. Comparisons of as many queries have the
+    same draws, so these are made once for all of them. Each task has the arrays and its share of the resamples.
     """
-    row = F.struct("gold", (1 / F.col("rank") - 1 / F.col("base_rank")).alias("d"))
-    arrays = pairs.groupBy("base_arm", "arm").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["d"]).alias("d"))
-    draws = arrays.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = draws.repartition(pairs.sparkSession.sparkContext.defaultParallelism, "base_arm", "arm", "r")  # not coalesced, though the rows are few
-    at = lambda j: (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("r"), j).cast("binary")), 1, 8), 16, 10).cast("long") % F.size("d")).cast("int")
-    mean = F.aggregate(F.sequence(F.lit(0), F.size("d") - 1), F.lit(0.0), lambda s, j: s + F.get("d", at(j))) / F.size("d")
-    means = draws.select("base_arm", "arm", mean.alias("m"))
+    spark, row = pairs.sparkSession, F.struct("gold", (1 / F.col("rank") - 1 / F.col("base_rank")).alias("d"))
+    known = pairs.where("rank is not null and base_rank is not null")
+    arrays = known.groupBy("base_arm", "arm").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["d"]).alias("d"))
+    tasks = spark.sparkContext.defaultParallelism
+    alike = arrays.groupBy(F.size("d").alias("n")).agg(F.collect_list(F.struct("base_arm", "arm", "d")).alias("rows"))
+    shares = alike.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartition(tasks)  # not coalesced, though the rows are few
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for n, rows, share in (x for batch in batches for x in zip(batch["n"], batch["rows"], batch["share"], strict=True)):
+            d, mine = [np.asarray(x["d"], dtype=np.float64) for x in rows], range(share, resamples, tasks)
+            m = np.zeros((len(mine), len(rows)))
+            for k, r in enumerate(mine):
+                first = b"".join([md5(b"%d:%d" % (r, j)).digest()[:4] for j in range(n)])
+                at = np.frombuffer(first, dtype=">u4").astype(np.int64) % n
+                m[k] = [x[at].mean() for x in d]
+            for x, own in zip(rows, m.T, strict=True):
+                yield pd.DataFrame({"base_arm": x["base_arm"], "arm": x["arm"], "m": own})
+
+    means = shares.select("n", "rows", "share").mapInPandas(draw, "base_arm string, arm string, m double")
     edge = lambda p: F.round(F.percentile("m", F.lit(p)), 9)
     out = means.groupBy("base_arm", "arm").agg(edge(0.025).alias("lo"), edge(0.975).alias("hi"))
     return out.withColumn("verdict", verdict(F.col("lo"), F.col("hi")))

@@ -271,3 +271,33 @@ def test_sketches_merge(spark):
 def test_counted_tokens(spark):
     rows = frame(spark, [(1, "a b\n c"), (2, None), (3, "")], "id long, content string")
     assert {r.id: r.n_tokens for r in D.count_tokens(rows, D.word_counter).collect()} == {1: 3, 2: 0, 3: 0}
+
+
+def test_multinomial_draws_in_blocks():
+    """The numbers of one draw of all resamples, but not held at once: 20,000 distinct pairs of ranks are 320 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    n, d = rng.integers(1, 4, size=20_000), rng.normal(size=20_000)
+    tracemalloc.start()
+    means = X._drawn_means(n, d, 2000, 42)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100_000_000
+    few = np.random.default_rng(42).multinomial(n.sum(), n / n.sum(), size=250) @ d / n.sum()
+    assert len(means) == 2000 and np.allclose(means[:250], few, rtol=0, atol=1e-12)
+
+
+def test_hash_bootstrap_moves_no_resample(spark):
+    """The draws of md5, for comparisons of two sizes and with unknown ranks; a row that moves is a task's share, not a resample."""
+    from hashlib import md5
+
+    rng = np.random.default_rng(4)
+    rows = [("b", arm, g, int(rng.integers(1, 9)), int(rng.integers(1, 12))) for arm, n in (("x", 60), ("y", 60), ("z", 37)) for g in range(n)] + [("b", "x", 99, None, 1)]
+    out = X.hash_bootstrap(frame(spark, rows, "base_arm string, arm string, gold long, rank long, base_rank long"), 200)
+    got = {r.arm: (r.lo, r.hi) for r in out.collect()}
+    for arm, n in (("x", 60), ("y", 60), ("z", 37)):
+        d = np.array([1 / r - 1 / b for _, a, _, r, b in rows if a == arm and r])
+        means = [d[[int(md5(f"{r}:{j}".encode()).hexdigest()[:8], 16) % n for j in range(n)]].mean() for r in range(200)]
+        assert np.allclose(got[arm], np.percentile(means, [2.5, 97.5]), rtol=0, atol=2e-9)
+    assert "sequence(0, 199" not in out._jdf.queryExecution().toString()
