@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions.staging import staged
 from gleanwork.functions.text import strip
+from gleanwork.functions.vectors import DIGITS
 
 
 def leak_free(valid: DataFrame, train: DataFrame, c: str = "content", leaked: bool = False) -> DataFrame:
@@ -42,29 +43,33 @@ def answered(turns: DataFrame, conversation: str, turn: str, role: str, text: st
     return rows.where((F.col(role) == "user") & (F.col("_next") == "assistant") & (F.length("payload") >= least)).select(conversation, "content", "payload")
 
 
+def _questions(generator: Callable[[Column], Column], text: str, most: int) -> Column:
+    return F.slice(F.array_distinct(F.filter(F.transform(generator(F.col(text)), lambda q: strip(q)), lambda q: q != "")), 1, most)
+
+
 def generated_questions(chunks: DataFrame, generator: Callable[[Column], Column], text: str = "content", most: int = 5) -> DataFrame:
     """chunks with a row for each of at most `most` generated questions, without repeats inside a chunk.
 
     generator makes an array<string> of a column (a pandas UDF around a model, or an expression); blank questions go.
     """
-    asked = F.slice(F.array_distinct(F.filter(F.transform(generator(F.col(text)), lambda q: strip(q)), lambda q: q != "")), 1, most)
-    return chunks.select(*chunks.columns, F.posexplode(asked).alias("question_index", "question"))
+    return chunks.select(*chunks.columns, F.posexplode(_questions(generator, text, most)).alias("question_index", "question"))
 
 
 def round_trip(chunks: DataFrame, generator: Callable[[Column], Column], factory, text: str = "content", most: int = 5) -> DataFrame:
     """(id, question_index, question) of the generated questions that find their own chunk first among all chunks (id, content).
 
     Questions are made and deduplicated inside their chunk, encoded, and searched; chunks stay where they lie. Of equally
-    similar chunks the smaller id is first. Questions and chunks are generated and encoded once, as stage tables.
+    similar chunks the smaller id is first. Questions and chunks are generated and encoded once, as a stage table.
     """
-    from gleanwork.operators.models import vectors
+    from gleanwork.operators.models import vectors_with_own
     from gleanwork.operators.ranking import firsts
 
-    named = chunks.where("id is not null").select("id", text)
-    asked = staged(generated_questions(named, generator, text, most).select("id", "question_index", "question"), "questions")
-    queries = vectors(asked.withColumn("gold", F.col("id")), factory, "question", ["question_index", "gold"])
-    found = firsts(queries, staged(vectors(named, factory, text, ["id"]), "chunks"), ["question_index"]).withColumnRenamed("gold", "id")
-    return asked.join(found, ["id", "question_index"], "left_semi")
+    asked = chunks.where("id is not null").select("id", text, _questions(generator, text, most).alias("asked"))
+    encoded = staged(vectors_with_own(asked, factory, text, "asked", DIGITS), "questions")
+    questions = encoded.where("part is not null").select("id", F.col("part").alias("question_index"), F.col("content").alias("question"))
+    queries = encoded.where("part is not null").select(F.col("part").alias("question_index"), F.col("id").alias("gold"), "own", "v")
+    found = firsts(queries, encoded.where("part is null").select("id", "v"), ["question_index"]).withColumnRenamed("gold", "id")
+    return questions.join(found, ["id", "question_index"], "left_semi")
 
 
 def remaining(items: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

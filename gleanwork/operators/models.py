@@ -76,6 +76,31 @@ def vectors(rows: DataFrame, factory: Callable[[], Encoder], text: str, kept: Se
     return rows.select(*dict.fromkeys([*kept, text])).mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "v array<double>"]))
 
 
+def vectors_with_own(rows: DataFrame, factory: Callable[[], Encoder], text: str, lists: str, digits: int, at_once: int = 256) -> DataFrame:
+    """(id, part, content, v, own): the unit vectors of the texts of rows (id, text, lists), and of each text in their lists.
+
+    A text's own row has no part, a list's has its place in it and own, its rounded similarity to the row's text. Each is encoded once.
+    """
+    kind = dict(rows.dtypes)["id"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = factory()
+        for whole in parts:
+            for part in (whole.slice(k, at_once) for k in range(0, whole.num_rows, at_once)):
+                ids, texts, more = part.column("id"), part.column(text).to_pylist(), [x or [] for x in part.column(lists).to_pylist()]
+                row = np.repeat(np.arange(len(texts)), [1 + len(x) for x in more])
+                first = np.append(0, np.cumsum([1 + len(x) for x in more]))[:-1]
+                flat = [t for own, x in zip(texts, more, strict=True) for t in (own, *x)]
+                made = [unit_rows(encoder([t or "" for t in flat[i:j]])) for i, j in batches([len(t or "") for t in flat])]
+                v = np.concatenate(made)
+                place, asked = np.arange(len(flat)) - first[row] - 1, np.arange(len(flat)) != first[row]
+                own = np.round((v * v[first[row]]).sum(axis=1), digits)
+                content = pa.array([t if a else None for t, a in zip(flat, asked, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(place.astype(np.int32), mask=~asked), content, pa.array(list(v), pa.list_(pa.float64())), pa.array(own, mask=~asked)], names=["id", "part", "content", "v", "own"])
+
+    return rows.select("id", text, lists).mapInArrow(run, f"id {kind}, part int, content string, v array<double>, own double")
+
+
 def embed(items: DataFrame, encoder: Encoder, model: str, dim: int, query_prefix: str, passage_prefix: str, max_seq_len: int | None, partitions: int) -> DataFrame:
     """Embedding rows of items (kind, id, text): longest first, kinds apart, unit length, the settings in every row."""
     schema = "kind string, id string, embedding array<float>, model_name string, dim int, query_prefix string, passage_prefix string, max_seq_len int"
